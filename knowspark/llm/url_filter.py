@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MAX_CHILDREN, DEPTH = 32, 4
 PRIOR, STRENGTH, REJECT, CRITICAL = 0.2, 4.0, 0.8, 1.96
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,14 +65,17 @@ def templates(paths: DataFrame) -> DataFrame:
     rest = F.when(F.size("parts") > DEPTH, F.array(F.concat_ws("/", F.slice("parts", DEPTH, 1 << 30)))).otherwise(F.array().cast("array<string>"))
     out = paths.withColumn("parts", F.transform(parts, segment_class))
     out = out.withColumn("parts", F.when(F.size("parts") > DEPTH, F.concat(F.slice("parts", 1, DEPTH - 1), rest)).otherwise(F.col("parts")))
-    out = out.withColumn("template", F.array().cast("array<string>"))
+    out = cut(out.withColumn("template", F.array().cast("array<string>")))
     for level in range(1, DEPTH + 1):
+        if out.where(F.size("parts") >= level).isEmpty():
+            break
         child = F.get("parts", F.lit(level - 1))
         nodes = out.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(F.count(F.lit(1)).alias("n"))
         nodes = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > MAX_CHILDREN)
         out = out.join(nodes, ["host", "template"], "left")
         child = F.when(F.col("children").isNotNull() & ~child.startswith("{"), F.lit("*")).otherwise(child)
         out = out.withColumn("template", F.when(F.size("parts") >= level, F.concat("template", F.array(child))).otherwise(F.col("template"))).drop("children")
+        out = cut(out)  # each level uses the one before twice
     return out.drop("parts")
 
 
@@ -80,9 +85,11 @@ def merged(stats: DataFrame) -> DataFrame:
     From the deepest level up, children of one parent whose share of bad urls is within ``CRITICAL`` standard errors
     of the children's pooled share become one branch ``~`` of that parent.
     """
-    out = stats.withColumn("branch", F.col("template"))
+    out = cut(stats.withColumn("branch", F.col("template")))
     for level in range(DEPTH, 0, -1):
         here = F.size("branch") == level
+        if out.where(here).isEmpty():
+            continue
         parent = F.slice("branch", 1, level - 1)
         kids = out.where(here).groupBy("host", "branch").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).where("b + g > 0")
         pool = kids.groupBy("host", parent.alias("parent")).agg((F.sum("b") / F.sum(F.col("b") + F.col("g"))).alias("p"))
@@ -92,6 +99,7 @@ def merged(stats: DataFrame) -> DataFrame:
         kids = kids.select("host", "branch", near.alias("near"))
         out = out.join(kids, ["host", "branch"], "left")
         out = out.withColumn("branch", F.when(F.coalesce("near", F.lit(False)), F.concat(parent, F.array(F.lit("~")))).otherwise(F.col("branch"))).drop("near")
+        out = cut(out)
     pooled = out.groupBy("host", "branch").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
     purity = (F.col("b") + PRIOR * STRENGTH) / (F.col("b") + F.col("g") + STRENGTH)
     return out.join(pooled.withColumn("purity", purity).drop("b", "g"), ["host", "branch"])
