@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_numbers = itertools.count()
-
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name made from ``name`` that no column of ``df`` has, whatever its case."""
@@ -20,16 +18,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again; for whole corpora, which it compresses."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where neither that setting nor
     a checkpoint folder exists (tests, a laptop) is a temporary one used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

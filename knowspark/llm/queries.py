@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, minhash, packing, quality, substring_dedup, token_count, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_text, minhash, packing, quality, substring_dedup, token_count, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op4_url_filter, op5_packing, op6_bpe, op7_minhash, op8_token_count, op9_html_text, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_embedding_dedup, op4_url_filter, op5_packing, op6_bpe, op7_minhash, op8_token_count, op9_html_text, op10_quality)}
 
 ORACLE = {
     "op1_exact_dedup": r"""

@@ -208,7 +208,7 @@ def _answer_windows(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PLACES)], schema=PLACES) if out else _empty(PLACES)
 
 
-def _remove(window: int, width: int):
+def _remove(window: int, width: int, whole: bool):
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         b = Block(group, window)
         change = np.zeros(len(b.hashes) + 1, np.int32)
@@ -221,6 +221,9 @@ def _remove(window: int, width: int):
         removed = total[b.ends] - total[b.begins]
         kept = []
         for text, n, a, z in zip(b.text.to_pylist(), removed, b.begins, b.ends):
+            if whole and not n:
+                kept.append(text)
+                continue
             words = (text or "").encode().split()
             if n:
                 words = [w for w, out in zip(words, gone[a:z].tolist()) if not out]
@@ -231,10 +234,11 @@ def _remove(window: int, width: int):
     return run
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, window: int = WINDOW, whole: bool = False) -> DataFrame:
     """One row for each document: its id, the columns in ``carry``, n_words, n_removed and kept_text.
 
-    ``kept_text`` is the words that stay, joined by one space. Columns of ``carry`` that clash with these names get a
+    ``kept_text`` is the words that stay, joined by one space; with ``whole``, a text that loses nothing is left as it
+    is, white space and all. Columns of ``carry`` that clash with these names get a
     longer one of the result's.
     """
     if window < PERIOD + 3:
@@ -253,7 +257,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = windows.groupBy("bucket").applyInArrow(_answer_windows, kind(PLACES))
     width = len(slim.columns)
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*slim.schema.fields, *(T.StructField("n", k) for k in (T.LongType(), T.LongType(), T.StringType()))])]
-    out = own.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_remove(window, width), T.StructType(fields))
+    out = own.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_remove(window, width, whole), T.StructType(fields))
     out = out.drop("c1")
     names = [id_col, *carry]
     for name in ("n_words", "n_removed", "kept_text"):
@@ -261,6 +265,20 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.toDF(*names)
 
 
+def substring_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``df`` with repeated passages cut out of its texts; texts without any stay as they are.
+
+    A document of which nothing is left goes. ``length_col``, where ``df`` has it, follows the text.
+    """
+    carry = [c for c in df.columns if c not in (id_col, text_col)]
+    out = substring_dedup(df, id_col, text_col, carry, whole=True)
+    n_words, n_removed, kept = out.columns[-3:]
+    out = out.where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_words)))
+    if length_col in carry:
+        out = out.withColumn(length_col, F.when(F.col(n_removed) > 0, F.length(kept).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.select(*[F.col(kept).alias(c) if c == text_col else F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     out = substring_dedup(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
