@@ -10,10 +10,14 @@ Documents that agree in a whole band of ROWS coordinates share a bucket; a pair
 with probability 3e-6. Links are then settled exactly, from the texts:
 
 * equal shingle sets are one vertex from the start, so copies are not compared at all;
-* every vertex of a bucket is compared with the bucket's smallest (a number of pairs linear in the bucket), and the
-  links' components become labels; a few more rounds take other members and compare only what has another label;
-* what is left in a bucket between different labels is compared in full: the members outside the largest label with
-  all others. So no link between buckets' members goes unseen, and none within a label needs to be seen.
+* of every vertex in a bucket with others, the shingles that any other such vertex has are counted. Only these can be
+  shared, so a vertex with too few of them is done, and a pair's counts bound its similarity;
+* each bucket's vertices are compared with the one that has the largest part of shared shingles, a number of pairs
+  linear in the bucket. Each comparison also yields a bitmap of which of that pivot's shingles the vertex lacks. The
+  links' components become labels;
+* what is left between labels is compared too, unless the counts and bitmaps show that it cannot reach 0.8: the pivot's
+  shingles that one or the other lacks are in no intersection. So no link between buckets' members goes unseen, and none
+  within a label needs to be seen.
 
 A vertex that many are compared with is dealt out by a salt, and its text is read once for each salt.
 
@@ -32,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, input_bytes
 from .components import connected_components
+from .substring_dedup import BLOCK_BYTES, HASHES, answer_repeats, no_rows, pack_array, ranges
 from .words import join, mix, shingles, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
 PERCENT = 80
 SALT = 256
-ROUNDS = 2
+BITS = 512
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -129,13 +134,56 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums), pa.array(n, pa.int64()), lists], ["id", "sa", "sb", "n", "bands"])
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches PERCENT."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    both = int((a[at] == b).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def _send_shingles(buckets: int):
+    """Each block's distinct shingles, to the bucket that a shingle's hash belongs to."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes, _, _, counts = word_hashes(_texts(group))
+        h, out, a = np.unique(shingles(hashes, counts, SHINGLE)[1]), [], 0
+        block = group["block"][0].as_py()
+        for bucket, z in enumerate(ranges(h, buckets)):
+            if z > a:
+                out.append((bucket, block, pack_array(h[a:z])))
+            a = z
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HASHES)], schema=HASHES) if out else no_rows(HASHES)
+
+    return run
+
+
+def _texts(group: pa.Table) -> pa.Array:
+    text = group["text"].combine_chunks()
+    return text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+
+
+def _count_shared(group: pa.Table, told: pa.Table) -> pa.Table:
+    """For each text of a block the number of its shingles that another text, here or in another block, has."""
+    hashes, _, _, counts = word_hashes(_texts(group))
+    row, gram = shingles(hashes, counts, SHINGLE)
+    _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+    known = times[which] > 1
+    parts = [np.frombuffer(x, np.uint64) for x in told["hashes"].to_pylist()]
+    if parts and len(gram):
+        other = np.sort(np.concatenate(parts))
+        known |= other[np.minimum(np.searchsorted(other, gram), len(other) - 1)] == gram
+    shared = np.bincount(row, known, group.num_rows).astype(np.int64)
+    return pa.Table.from_arrays([group["id"], pa.array(shared)], ["id", "shared"])
+
+
+def shared_counts(texts: DataFrame, blocks: int) -> DataFrame:
+    """(id, shared) of texts (id, text), by blocks of bounded size that exchange hashes, not texts."""
+    own = texts.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    sent = own.groupBy("block").applyInArrow(_send_shingles(blocks), "bucket int, block int, hashes binary")
+    repeated = sent.groupBy("bucket").applyInArrow(answer_repeats, "block int, hashes binary")
+    return own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_count_shared, "id long, shared long")
+
+
+def compare(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
+    """The size of the intersection of two sorted sets, and as bits the places (by hash) where b lacks shingles of a."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    has = b[at] == a
+    bits = np.zeros(BITS, np.uint8)
+    bits[(a[~has] >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return int(has.sum()), np.packbits(bits).view(np.int64)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,71 +196,81 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, gram = shingles(hashes, counts, SHINGLE)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             a, salt, role, ids = (batch.column(i).to_pylist() for i in range(4))
-            left, right = [], []
+            out = []
             for i in range(batch.num_rows):
                 own = gram[edge[i] : edge[i + 1]]
                 if (a[i], salt[i]) != now:
                     now, sets = (a[i], salt[i]), []
+                if not len(own):
+                    continue
                 if role[i] == 0:
                     sets.append(own.copy())
-                elif len(own) and any(similar(s, own) for s in sets if len(s)):
-                    left.append(a[i])
-                    right.append(ids[i])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                    continue
+                found = [(len(s), *compare(s, own)) for s in sets]
+                similar = any(100 * both >= PERCENT * (n + len(own) - both) for n, both, _ in found)
+                one = found[0] if len(found) == 1 else (None, None, None)  # an id with several texts gives no bound
+                out.append((a[i], ids[i], similar, one[0], one[1], one[2]))
+            columns = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["a", "b", "similar", "an", "both", "lacks"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) are similar."""
+    """For pairs (a, b) whether their texts (id, text) are similar, and what :func:`compare` gives."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
     salted = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
     asked = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"))
     asked = asked.unionAll(salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")))
     rows = asked.join(texts, "id").select("a", "salt", "role", "id", "text")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_check, "a long, b long")
+    kind = "a long, b long, similar boolean, an long, both long, lacks array<long>"
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_check, kind)
+
+
+def _reaches(both, n, m):
+    """Whether sets of n and m elements can be similar with ``both`` in common."""
+    return both * 100 >= (n + m - both) * PERCENT
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, class_id (the smallest id of its class) and kept (whether it is that one)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(docs, "text") // BLOCK_BYTES))
     signed = cut(docs.mapInArrow(_sign, "id long, sa long, sb long, n long, bands array<long>"))
     sets = signed.where("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("rep"))
     reps = signed.join(sets.select("rep", "sa", "sb"), ["sa", "sb"]).where("id = rep").dropDuplicates(["sa", "sb"])
     rows = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut(rows.join(buckets, "bucket"))
-    asked = members.select(F.col("rep").alias("id")).distinct()
-    texts = cut(docs.join(asked, "id", "left_semi"))
-
-    def fits(a, b):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-    sizes = members.where("rep = pivot").groupBy("bucket").agg(F.max("n").alias("pivot_n"))
-    star = members.where("rep <> pivot").join(sizes, "bucket").where(fits(F.col("n"), F.col("pivot_n")))
-    links = cut(verify(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts))
+    shared_buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+    members = cut(rows.join(shared_buckets, "bucket"))
+    texts = cut(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+
+    # an id with several texts counts by the one that allows most
+    counts = shared_counts(texts, blocks).groupBy(F.col("id").alias("rep")).agg(F.max("shared").alias("shared"))
+    members = members.join(counts, "rep").where(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    order = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("rep")).alias("first"))
+    pivots = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("shared").alias("ps")), order).alias("p"), F.count(F.lit(1)).alias("c"))
+    members = cut(members.join(pivots.where("c > 1").select("bucket", "c", "p.*"), "bucket"))
+
+    star = members.where("rep <> pivot").where(_reaches(F.least("shared", "ps"), F.col("n"), F.col("pn")))
+    seen = cut(verify(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts))
+    links = seen.where("similar").select("a", "b")
     labels = connected_components(links)
 
-    for turn in range(1, ROUNDS + 2):
-        named = members.where("members > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        named = named.select("bucket", "rep", "n", "pivot", F.coalesce("component", "rep").alias("label"))
-        open_ = named.where("rep <> pivot").groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        named = cut(named.join(open_, "bucket"))
-        if named.isEmpty():
-            break
-        if turn <= ROUNDS:  # another member, against what has another label
-            other = named.where("rep <> pivot").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))).alias("o"))
-            pairs = named.join(other.select("bucket", "o.*"), "bucket").where("rep <> pivot and label <> al")
-            pairs = pairs.where(fits(F.col("n"), F.col("an"))).select("a", F.col("rep").alias("b"))
-        else:  # everything that is left between labels
-            count = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-            major = count.groupBy("bucket").agg(F.max_by("label", "c").alias("major"))
-            sided = cut(named.where("rep <> pivot").join(major, "bucket"))
-            minor = sided.where("label <> major").select("bucket", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-            pairs = sided.join(minor, "bucket").where("label <> al and (label = major or a < rep)")
-            pairs = pairs.where(fits(F.col("n"), F.col("an"))).select("a", F.col("rep").alias("b"))
-        more = cut(verify(pairs.distinct(), texts))
+    named = members.where("c > 2 and rep <> pivot").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("bucket", "rep", "n", "shared", "pivot", F.coalesce("component", "rep").alias("label"))
+    bound = seen.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "an", "both", "lacks")
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_ = cut(named.join(major.select("bucket", "major"), "bucket").join(bound, ["pivot", "rep"], "left").drop("pivot"))
+    if not open_.isEmpty():
+        minor = open_.where("label <> major").select("bucket", *[F.col(c).alias(f"{c}_") for c in ("rep", "n", "shared", "label", "both", "lacks")])
+        lacking = F.aggregate(F.zip_with("lacks", "lacks_", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
+        most = F.col("an") - lacking + F.least(F.col("shared") - F.col("both"), F.col("shared_") - F.col("both_"))
+        most = F.least("shared", "shared_", F.coalesce(most, F.col("shared")))
+        apart = (F.col("label") != F.col("label_")) & ((F.col("label") == F.col("major")) | (F.col("rep_") < F.col("rep")))
+        near = open_.alias("x").join(minor.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart & _reaches(most, F.col("n"), F.col("n_")))
+        pairs = near.select(F.col("rep_").alias("a"), F.col("rep").alias("b")).distinct()
+        more = cut(verify(pairs, texts).where("similar").select("a", "b"))
         if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = connected_components(links)
+            labels = connected_components(links.unionAll(more))
 
     classes = sets.where("rep is not null").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("sa", "sb", F.coalesce("component", "rep").alias("class_id"))

@@ -85,13 +85,13 @@ class Block:
         return starts[starts + self.window <= self.ends[row[starts]]]
 
 
-def _ranges(h: np.ndarray, buckets: int) -> np.ndarray:
+def ranges(h: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's share of the sorted hashes ends."""
     edges = np.array([((b << 64) // buckets) for b in range(1, buckets)], dtype=np.uint64)
     return np.r_[np.searchsorted(h, edges), len(h)]
 
 
-def _pack(x: np.ndarray) -> bytes:
+def pack_array(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
@@ -103,7 +103,7 @@ def _places(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
 
 
-def _empty(schema: pa.Schema) -> pa.Table:
+def no_rows(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
 
@@ -122,16 +122,17 @@ def _send_anchors(window: int, buckets: int):
         block = _block_of(group)
         h = np.unique(Block(group, window).anchors()[1])
         out, a = [], 0
-        for bucket, z in enumerate(_ranges(h, buckets)):
+        for bucket, z in enumerate(ranges(h, buckets)):
             if z > a:
-                out.append((bucket, block, _pack(h[a:z])))
+                out.append((bucket, block, pack_array(h[a:z])))
             a = z
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HASHES)], schema=HASHES) if out else _empty(HASHES)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HASHES)], schema=HASHES) if out else no_rows(HASHES)
 
     return run
 
 
-def _answer_anchors(group: pa.Table) -> pa.Table:
+def answer_repeats(group: pa.Table) -> pa.Table:
+    """For one bucket's rows (block, hashes), each block's hashes sorted and distinct: those that another block has too."""
     blocks = group["block"].to_numpy()
     parts = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
     h = np.concatenate(parts)
@@ -145,18 +146,18 @@ def _answer_anchors(group: pa.Table) -> pa.Table:
     h, owner = h[order], owner[order]
     edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(h) else np.zeros(0, int)
     stop = np.r_[edge[1:], len(h)]
-    return pa.Table.from_arrays([pa.array(blocks[owner[edge]], pa.int32()), pa.array([_pack(h[a:z]) for a, z in zip(edge, stop)], pa.binary())], schema=ANSWERS)
+    return pa.Table.from_arrays([pa.array(blocks[owner[edge]], pa.int32()), pa.array([pack_array(h[a:z]) for a, z in zip(edge, stop)], pa.binary())], schema=ANSWERS)
 
 
 def _send_windows(window: int, buckets: int):
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _empty(WINDOWS)
+            return no_rows(WINDOWS)
         block, b = _block_of(group), Block(group, window)
         parts = [np.frombuffer(x, np.uint64) for x in told["hashes"].to_pylist()]
         at = b.candidates(np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
         if not len(at):
-            return _empty(WINDOWS)
+            return no_rows(WINDOWS)
         high, low = grams(b.hashes, window)[at], (grams(b.hashes, window, 5)[at] >> np.uint64(32)).astype(np.uint32)
         row = b.rows()[at]
         order = np.lexsort((at, low, high))  # places come in the order of id, then place
@@ -167,12 +168,12 @@ def _send_windows(window: int, buckets: int):
         later = (ids[order] != ids[lead]) | (within[order] > within[lead])
         out = [(block % buckets, block, b"", b"", _gaps(np.sort(at[order[~first & later]])), b"", b"")]
         keep = order[first]
-        edge, a = _ranges(high[keep], buckets), 0
+        edge, a = ranges(high[keep], buckets), 0
         for bucket, z in enumerate(edge):
             if z > a:
                 own = np.sort(keep[a:z])
                 rows = np.unique(row[own])
-                out.append((bucket, block, _pack(high[own]), _pack(low[own]), _gaps(at[own]), _pack(b.ids[rows]), _pack(b.begins[rows])))
+                out.append((bucket, block, pack_array(high[own]), pack_array(low[own]), _gaps(at[own]), pack_array(b.ids[rows]), pack_array(b.begins[rows])))
             a = z
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), WINDOWS)], schema=WINDOWS)
 
@@ -205,7 +206,7 @@ def _answer_windows(group: pa.Table) -> pa.Table:
         gone = order[~first & ((key[order] != key[lead]) | (inside[order] > inside[lead]))]
         for i in np.unique(owner[gone]):
             out.append((own[i]["block"], _gaps(np.sort(at[gone[owner[gone] == i]]))))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PLACES)], schema=PLACES) if out else _empty(PLACES)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PLACES)], schema=PLACES) if out else no_rows(PLACES)
 
 
 def _remove(window: int, width: int, whole: bool):
@@ -252,7 +253,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ddl = {pa.int32(): "int", pa.binary(): "binary"}
     kind = lambda schema: ", ".join(f"{f.name} {ddl[f.type]}" for f in schema)
     anchors = own.groupBy("block").applyInArrow(_send_anchors(window, buckets), kind(HASHES))
-    repeated = anchors.groupBy("bucket").applyInArrow(_answer_anchors, kind(ANSWERS))
+    repeated = anchors.groupBy("bucket").applyInArrow(answer_repeats, kind(ANSWERS))
     windows = own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_windows(window, buckets), kind(WINDOWS))
     places = windows.groupBy("bucket").applyInArrow(_answer_windows, kind(PLACES))
     width = len(slim.columns)
