@@ -5,9 +5,12 @@ work: a vector lives in the cell of its nearest centroid and visits every other
 is lost. Let y live at c' and a partner x, within the angle t of y, at c. Then x lies on c's side of the plane between
 c and c', and y at most sin t beyond it: y (c' - c) <= sin t |c' - c|. All other cells are skipped.
 
+Of two chunks only one is visited by the other's vectors, so each pair meets once, and both get the link.
+
 Equal vectors are one from the start, with their number as weight. A cell's residents are cut into chunks of bounded size
-by a hash of their ids; each chunk meets the cell's other residents and visitors in blocks, one matrix product each. A
-chunk yields its residents' numbers of links, and spanning edges of the links it saw, never the pairs themselves.
+by a hash of their ids; each chunk meets the cell's other residents and visitors in blocks, one matrix product each.
+Products are taken in single precision, and those near the threshold again in double. A chunk yields the numbers of
+links that it saw for each vector, and spanning edges of the links, never the pairs themselves.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of
 other lengths link only among themselves; rows are vectors of their own even where they repeat an id; a row with a null
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
+from .words import mix
 
 THRESHOLD = 0.95
-SAMPLE, PER_CELL, MOST_CELLS, TURNS = 20_000, 2_000, 1_024, 8
+SAMPLE, PER_CELL, MOST_CELLS, TURNS = 20_000, 1_000, 1_024, 8
 CHUNK, BLOCK = 1_024, 1_024
 
 
@@ -68,69 +72,89 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _cells(centroids: np.ndarray, reach: float, chunks: dict[int, int] | None):
-    """Home cell of each vector; with ``chunks`` (number of each cell's) a row for each chunk that a vector goes to."""
+    """Home cell of each vector; with ``chunks`` (number of each cell's), for each chunk the vectors that go there.
+
+    Role 0 are a chunk's own residents, role 1 all others that it must meet. Places (cell, chunk) are in an order in
+    which every second distance counts the other way, so that no place has all the visits.
+    """
     apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+    first: dict[int, int] = {}
+    places: list[int] = []
+    for cell, n in sorted((chunks or {}).items()):
+        first[cell] = len(places)
+        places += [cell] * n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                batch = whole.slice(a, 2048)
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
                 ids, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 for rows, x in _by_length(batch.column(2)):
-                    if x.shape[1] == centroids.shape[1]:
+                    common = x.shape[1] == centroids.shape[1]
+                    if common:
                         s = unit(x) @ centroids.T
-                        home = s.argmax(1)
-                        goes = s.max(1, keepdims=True) - s <= reach * apart[home] + 1e-9
-                        goes[np.arange(len(rows)), home] = True
-                        who, cell = np.nonzero(goes)
-                        home = home.astype(np.int64)
+                        home = s.argmax(1).astype(np.int64)
                     else:
                         home = np.full(len(rows), -x.shape[1], np.int64)
-                        who, cell = np.arange(len(rows)), home
                     if chunks is None:
                         yield pa.RecordBatch.from_arrays([pa.array(home)], ["home"])
                         continue
-                    n = np.array([chunks.get(int(c), 0) for c in cell], np.int64)
-                    who, cell = np.repeat(who, n), np.repeat(cell, n)
-                    chunk = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                    own = (_spread(ids[rows]) % np.array([max(1, chunks.get(int(h), 1)) for h in home], np.uint64)).astype(np.int64)
-                    role = 1 - ((cell == home[who]) & (chunk == own[who])).astype(np.int32)
-                    raw = [r.tobytes() for r in x]
-                    arrays = [pa.array(cell.astype(np.int64)), pa.array(chunk), pa.array(role), pa.array(ids[rows][who]), pa.array(weights[rows][who]), pa.array([raw[i] for i in who], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["cell", "chunk", "role", "id", "weight", "vector"])
+                    size = np.array([chunks[h] for h in home.tolist()], np.uint64)
+                    at = np.array([first[h] for h in home.tolist()]) + (mix(ids[rows].astype(np.uint64)) % size).astype(np.int64)
+                    if common:
+                        goes = s.max(1, keepdims=True) - s <= reach * apart[home] + 1e-9
+                        goes[np.arange(len(rows)), home] = True
+                    out = []
+                    for place, cell in enumerate(places):
+                        there = goes[:, cell] if common and cell >= 0 else home == cell
+                        met = np.where((at + place) % 2 == 0, at > place, at < place)
+                        for role, who in ((0, np.flatnonzero(at == place)), (1, np.flatnonzero(there & met))):
+                            if len(who):
+                                out.append((place, role, ids[rows[who]].tobytes(), weights[rows[who]].tobytes(), x[who].tobytes()))
+                    if out:
+                        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["place", "role", "ids", "weights", "vectors"])
 
     return run
 
 
-def _spread(ids: np.ndarray) -> np.ndarray:
-    from .words import mix
-
-    return mix(ids.astype(np.uint64))
-
-
 class Chunk:
     """The residents of one chunk, gathered first, then compared with block after block of others."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, threshold: float) -> None:
         self.ids, self.weights, self.raw, self.threshold = ids, weights, raw.astype(np.float64), threshold
         self.unit = unit(raw)
-        self.links = np.zeros(len(ids), np.int64)
+        self.single = self.unit.astype(np.float32)
+        self.links: dict[int, int] = {}
         self.edges: set[tuple[int, int]] = set()
         for a in range(0, len(ids), BLOCK):
-            self.meet(ids[a : a + BLOCK], weights[a : a + BLOCK], raw[a : a + BLOCK])
+            self.meet(ids[a : a + BLOCK], weights[a : a + BLOCK], raw[a : a + BLOCK], own=True)
+
+    def _add(self, ids: np.ndarray, links: np.ndarray) -> None:
+        for i, n in zip(ids.tolist(), links.tolist()):
+            self.links[i] = self.links.get(i, 0) + n
 
-    def meet(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray) -> None:
-        g = unit(raw) @ self.unit.T
+    def meet(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, own: bool = False) -> None:
+        x = unit(raw)
+        g = x.astype(np.float32) @ self.single.T
         linked = g >= self.threshold
-        for i, j in zip(*np.nonzero(np.abs(g - self.threshold) < 1e-12)):  # rounding decides: once more by the plain formula
-            x, y = raw[i].astype(np.float64), self.raw[j]
-            linked[i, j] = math.fsum(x * y) / (math.sqrt(math.fsum(x * x)) * math.sqrt(math.fsum(y * y))) >= self.threshold
-        linked &= ids[:, None] != self.ids[None, :]
+        i, j = np.nonzero(np.abs(g - np.float32(self.threshold)) < 1e-5)
+        for a in range(0, len(i), 65536):  # single precision cannot tell
+            p, q = i[a : a + 65536], j[a : a + 65536]
+            cosine = np.einsum("ij,ij->i", x[p], self.unit[q])
+            linked[p, q] = cosine >= self.threshold
+            for k in np.flatnonzero(np.abs(cosine - self.threshold) < 1e-12):  # rounding decides: once more by the plain formula
+                u, v = raw[p[k]].astype(np.float64), self.raw[q[k]]
+                linked[p[k], q[k]] = math.fsum(u * v) / (math.sqrt(math.fsum(u * u)) * math.sqrt(math.fsum(v * v))) >= self.threshold
+        if own:
+            linked &= ids[:, None] != self.ids[None, :]
         rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
         if not len(rows):
             return
-        self.links += weights @ linked
         m = linked[np.ix_(rows, cols)]
+        self._add(self.ids[cols], weights[rows] @ m)
+        if not own:
+            self._add(ids[rows], m @ self.weights[cols])
         label = np.arange(len(cols))
         while True:
             low = np.where(m, label, len(cols)).min(1)
@@ -143,43 +167,41 @@ class Chunk:
 
 
 def _compare(threshold: float, kind: type):
-    """Rows sorted by cell, chunk and role: (id, links, null) of the residents, and (id, null, other) of spanning edges."""
+    """Rows sorted by place and role: (id, links, null) for vectors that have links, (id, null, other) for spanning edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, chunk = None, [], None
 
+        def begin() -> Chunk:
+            out = Chunk(*(np.concatenate(x) for x in zip(*held)), threshold)
+            held.clear()
+            return out
+
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal chunk
             if chunk is None and held:
-                chunk = Chunk(*(np.concatenate(x) for x in zip(*held)), threshold)
+                chunk = begin()
             if chunk is not None:
                 edges = [e for e in chunk.edges if e[0] != e[1]]
-                ids = np.r_[chunk.ids, np.array([a for a, _ in edges], np.int64)]
-                links = pa.array(chunk.links.tolist() + [None] * len(edges), pa.int64())
-                other = pa.array([None] * len(chunk.ids) + [b for _, b in edges], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), links, other], ["id", "links", "other"])
+                ids = [*chunk.links, *(a for a, _ in edges)]
+                links = [*chunk.links.values(), *[None] * len(edges)]
+                other = [*[None] * len(chunk.links), *(b for _, b in edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, links, other)], ["id", "links", "other"])
             chunk = None
-            held.clear()
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-            edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
-            for a, z in zip(edge, [*edge[1:], len(keys)]):
-                cell, number, role = keys[a].tolist()
-                if (cell, number) != now:
+            for place, role, ids, weights, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != now:
                     yield from close()
-                    now = cell, number
-                part = batch.slice(a, z - a)
-                raw = np.frombuffer(b"".join(part.column(5).to_pylist()), kind).reshape(z - a, -1)
-                rows = part.column(3).to_numpy(), part.column(4).to_numpy(), raw
+                    now = place
+                ids, weights = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
+                raw = np.frombuffer(vectors, kind).reshape(len(ids), -1)
                 if role == 0:
-                    held.append(rows)
+                    held.append((ids, weights, raw))
                 elif held or chunk is not None:
-                    if chunk is None:
-                        chunk = Chunk(*(np.concatenate(x) for x in zip(*held)), threshold)
-                        held.clear()
-                    for i in range(0, z - a, BLOCK):
-                        chunk.meet(*(x[i : i + BLOCK] for x in rows))
+                    chunk = chunk or begin()
+                    for i in range(0, len(ids), BLOCK):
+                        chunk.meet(ids[i : i + BLOCK], weights[i : i + BLOCK], raw[i : i + BLOCK])
         yield from close()
 
     return run
@@ -205,11 +227,11 @@ def embedding_groups(df: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # one row for each cell, of which there are at most MOST_CELLS and one more for each vector length
     residents = {r.home: r["count"] for r in vectors.mapInArrow(_cells(centroids, reach, None), "home long").groupBy("home").count().collect()}
     chunks = {cell: -(-size // CHUNK) for cell, size in residents.items()}
-    rows = vectors.mapInArrow(_cells(centroids, reach, chunks), "cell long, chunk long, role int, id long, weight long, vector binary")
-    found = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "role").mapInArrow(_compare(threshold, kind), "id long, links long, other long")
+    rows = vectors.mapInArrow(_cells(centroids, reach, chunks), "place long, role int, ids binary, weights binary, vectors binary")
+    found = rows.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_compare(threshold, kind), "id long, links long, other long")
     found = cut(found)
     labels = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = found.where("links is not null").select("id", "links")
+    links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     known = distinct.select("k1", "k2", "id", "weight").join(links, "id", "left").join(labels, "id", "left")
     known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
     out = keyed.drop("v").join(known, ["k1", "k2"], "left")
