@@ -1,12 +1,15 @@
-"""Named queries over the test tables, and SQL that gives the same rows."""
+"""All named queries of the engine, the SQL that gives the same rows, and the flagship query."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .queries import ORACLE, QUERIES, analysis, analytics, documents, language
+
+__all__ = ["ORACLE", "QUERIES", "analysis", "analytics", "documents", "flagship", "language"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """Hybrid recall in the query language: filtered, ranked by text and by vector, fused."""
+    q = f'MATCH Hybrid WHERE doc_id >= 0 SIMILAR TO "{language.WORDS}" USING EMBEDDING bench LIMIT 10 RETURN doc_id'
+    return language.engine(spark, sf_dir).run(q)

@@ -161,10 +161,14 @@ def merge(heads: DataFrame, koids: Sequence[str], into: str, at: int, how: str =
     return kept.unionByName(versioned(heads.where(F.col("koid").isin(gone)), at, epistemic_status=F.lit("superseded"), state=F.lit("superseded")))
 
 
+def _among(names: Sequence[str]):
+    return lambda name, value: name.isin(list(names))
+
+
 def split(heads: DataFrame, koid: str, parts: Mapping[str, Sequence[str]], at: int) -> DataFrame:
     """New objects, each with some of the properties, and the old one superseded."""
     own = heads.where(F.col("koid") == koid)
-    news = [versioned(own, at, koid=F.lit(k), version=F.lit(1), properties=F.map_filter("properties", lambda n, v, names=tuple(names): n.isin(list(names)))) for k, names in parts.items()]
+    news = [versioned(own, at, koid=F.lit(k), version=F.lit(1), properties=F.map_filter("properties", _among(names))) for k, names in parts.items()]
     gone = versioned(own, at, epistemic_status=F.lit("superseded"), state=F.lit("superseded"))
     return reduce(lambda a, b: a.unionByName(b), [gone, *news])
 

@@ -54,8 +54,8 @@ def prove(journal: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
     checks = [F.when(F.col("prev_hash") != F.col("_before"), "broken link"), F.when(F.col("own_hash") != own_hash(), "altered")]
     if payloads is not None:
         rows = rows.join(payloads.select("koid", "version", F.col("payload_hash").alias("_payload")), ["koid", "version"], "left")
-        erased = F.max(F.when(F.col("kind") == "erased", 1)).over(Window.partitionBy("koid")).isNotNull()
-        checks += [F.when(F.col("_payload").isNull() & ~erased, "missing payload"), F.when(F.col("_payload") != F.col("payload_hash"), "payload differs")]
+        rows = rows.withColumn("_erased", F.max(F.when(F.col("kind") == "erased", 1)).over(Window.partitionBy("koid")))
+        checks += [F.when(F.col("_payload").isNull() & F.col("_erased").isNull(), "missing payload"), F.when(F.col("_payload") != F.col("payload_hash"), "payload differs")]
     return rows.select("koid", "seq", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("problem"))
 
 

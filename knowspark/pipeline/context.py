@@ -25,11 +25,15 @@ def keyword_score(text: Column, words: Sequence[str]) -> Column:
     own = tx.tokens(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2"))
     score = F.lit(0.0)
     for w in words:
-        near = F.exists(own, lambda x, w=w: x.startswith(w[:4])) if len(w) >= 4 else F.lit(False)
+        near = F.exists(own, _starts(w[:4])) if len(w) >= 4 else F.lit(False)
         score = score + F.when(F.array_contains(own, w), 1.0).when(near, 0.3).otherwise(0.0)
     return score
 
 
+def _starts(prefix: str):
+    return lambda x: x.startswith(prefix)
+
+
 def score_units(units: DataFrame, words: Sequence[str]) -> DataFrame:
     """units (unit, kind, name, text, mentions) with a score: names count whole, mentions half, with a bonus for many."""
     name, mentions = keyword_score(F.col("name"), words), keyword_score(F.concat_ws(" ", "mentions"), words)
