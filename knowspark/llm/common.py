@@ -54,6 +54,17 @@ def input_bytes(df: DataFrame, text: str) -> int:
     return size
 
 
+def dealt(df: DataFrame, size: int, *columns: str, most: int = 64 << 20) -> DataFrame:
+    """``df`` dealt out by columns so that a partition has about ``most`` of ``size`` bytes.
+
+    Where the session's number of shuffle partitions is enough, that holds, and adaptive execution may merge them.
+    """
+    parts = -(-size // most)
+    if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(*columns)
+    return df.repartition(parts, *columns)
+
+
 def scratch() -> str:
     """Where one task attempt may spill, as Spark's own shuffle does: its executor's local dirs, else the temp folder."""
     for name in ("LOCAL_DIRS", "SPARK_LOCAL_DIRS"):

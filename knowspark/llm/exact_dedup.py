@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, scratch
+from .common import dealt, fresh, input_bytes, scratch
 
 WHITE = b" \t\n\v\f\r"
 BUDGET = 48 << 20
@@ -234,7 +234,7 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_at, text_at, width = df.columns.index(id_col), df.columns.index(text_col), len(df.columns)
     part = df.mapInArrow(_combine(id_at, text_at, width, budget), T.StructType([*df.schema, T.StructField(h, T.LongType()), T.StructField(n, T.LongType())]))
     schema = T.StructType([*df.schema, T.StructField(n, T.LongType()), T.StructField(sha, T.StringType())])
-    return part.repartition(h).mapInArrow(_reduce(id_at, text_at, width, budget), schema), n, sha
+    return dealt(part, input_bytes(df, text_col), h).mapInArrow(_reduce(id_at, text_at, width, budget), schema), n, sha
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
