@@ -160,7 +160,7 @@ class Engine:
             ranked = sides[0] if s.fuse != "text" or len(sides) == 1 else sides[1]
         else:
             ranked = search.fuse_rrf(*sides) if s.fuse == "rrf" else search.fuse_weighted(*sides, 0.5, 0.5)
-        ranked = ranked.select(F.col("koid").alias("_koid"), "score")
+        ranked = ranked.select(F.col("koid").alias("_koid"), F.col("score").alias("_score"))
         return rows.join(F.broadcast(ranked), key == F.col("_koid")).drop("_koid")  # at most 2 k rows
 
     def match(self, m: t.Match) -> DataFrame:
@@ -174,18 +174,18 @@ class Engine:
             rows = self.search(rows, m)
         if m.hop:
             return self._walk(m, rows)
-        scored = "score" in rows.columns and m.similar is not None
-        props = [c for c in rows.columns if c not in ("ko", "score" if scored else "")]
+        scored = m.similar is not None
+        props = [c for c in rows.columns if c not in ("ko", "_score")]
         if m.fields:
             props = [c for c in m.fields if c in props]
         identity = [F.col("ko.koid").alias("koid"), F.col("ko.type_name").alias("type_name"), F.col("ko.version").alias("version")]
-        order = [F.col("score").desc()] if scored else []
+        order = [F.col("_score").desc()] if scored else []
         order += [F.col("ko.koid"), F.col("ko.commit_ts")]
         out = rows.orderBy(*order) if scored or m.limit is not None else rows
         if m.limit is not None:
             out = out.offset(m.offset).limit(m.limit)
-        taken = {"koid", "type_name", "version"}
-        return out.select(*identity, *(["score"] if scored else []), *[c for c in props if c not in taken])
+        taken = {"koid", "type_name", "version"} | ({"score"} if scored else set())  # these names are the result's own
+        return out.select(*identity, *([F.col("_score").alias("score")] if scored else []), *[c for c in props if c not in taken])
 
     def _walk(self, m: t.Match, rows: DataFrame | None) -> DataFrame:
         if self.catalog.edges is None:
