@@ -31,7 +31,7 @@ from .words import grams, word_hashes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)  # every difference modulo 13 is one of two members
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -167,7 +167,7 @@ def _send_windows(window: int, buckets: int):
         ids, within = b.ids[row], at - b.begins[row]
         later = (ids[order] != ids[lead]) | (within[order] > within[lead])
         out = [(block % buckets, block, b"", b"", _gaps(np.sort(at[order[~first & later]])), b"", b"")]
-        keep = order[first]
+        keep = order[first | ~later]  # rows that repeat an id share the fate of the first
         edge, a = ranges(high[keep], buckets), 0
         for bucket, z in enumerate(edge):
             if z > a:
@@ -249,13 +249,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)])
     blocks = max(2 * parallel, -(-input_bytes(slim, "text") // BLOCK_BYTES))
     buckets = max(parallel, blocks // 2)
-    own = slim.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "*")
+    own = slim.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "*").repartitionById(blocks, "block")  # one exchange for all three passes
     ddl = {pa.int32(): "int", pa.binary(): "binary"}
     kind = lambda schema: ", ".join(f"{f.name} {ddl[f.type]}" for f in schema)
     anchors = own.groupBy("block").applyInArrow(_send_anchors(window, buckets), kind(HASHES))
-    repeated = anchors.groupBy("bucket").applyInArrow(answer_repeats, kind(ANSWERS))
+    repeated = anchors.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(answer_repeats, kind(ANSWERS)).repartitionById(blocks, "block")
     windows = own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_windows(window, buckets), kind(WINDOWS))
-    places = windows.groupBy("bucket").applyInArrow(_answer_windows, kind(PLACES))
+    places = windows.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_windows, kind(PLACES)).repartitionById(blocks, "block")
     width = len(slim.columns)
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*slim.schema.fields, *(T.StructField("n", k) for k in (T.LongType(), T.LongType(), T.StringType()))])]
     out = own.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_remove(window, width, whole), T.StructType(fields))
