@@ -171,9 +171,9 @@ def _count_shared(group: pa.Table, told: pa.Table) -> pa.Table:
 
 def shared_counts(texts: DataFrame, blocks: int) -> DataFrame:
     """(id, shared) of texts (id, text), by blocks of bounded size that exchange hashes, not texts."""
-    own = texts.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
-    sent = own.groupBy("block").applyInArrow(_send_shingles(blocks), "bucket int, block int, hashes binary")
-    repeated = sent.groupBy("bucket").applyInArrow(answer_repeats, "block int, hashes binary")
+    own = texts.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text").repartitionById(blocks, "block")
+    sent = own.groupBy("block").applyInArrow(_send_shingles(blocks), "bucket int, block int, hashes binary").repartitionById(blocks, "bucket")
+    repeated = sent.groupBy("bucket").applyInArrow(answer_repeats, "block int, hashes binary").repartitionById(blocks, "block")
     return own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_count_shared, "id long, shared long")
 
 
