@@ -29,7 +29,7 @@ from .words import text_buffer
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS = 8, 4, 8, 32
 PAD, BACK = 256, 8
-TRAIN_DOCS, TRAIN_CHUNKS, ROUNDS = 3000, 6, 16
+TRAIN_DOCS, TRAIN_CHUNKS, ROUNDS, LEAST_STEPS, BATCH = 3000, 6, 16, 500, 32
 THRESHOLD = 0.3
 BLOCK = 512
 
@@ -115,8 +115,12 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return _sigmoid(np.hstack([total / n[:, None], top]) @ net.out + net.out_bias)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = ROUNDS) -> Network:
-    """Fits the network by Adam on cross-entropy, classes weighted alike within limits; the same rows give the same weights."""
+def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int | None = None) -> Network:
+    """Fits the network by Adam on cross-entropy, classes weighted alike within limits; the same rows give the same weights.
+
+    It sees all rows ``ROUNDS`` times, or as often as it takes for ``LEAST_STEPS`` steps.
+    """
+    rounds = rounds or max(ROUNDS, -(-LEAST_STEPS * BATCH // max(1, len(texts))))
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.3, (PAD + 1, EMBED)).astype(np.float32),
@@ -140,7 +144,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = ROUN
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     names = ("emb", "back", "filters", "bias", "out", "out_bias")
     moments = {k: [np.zeros_like(getattr(net, k), float), np.zeros_like(getattr(net, k), float)] for k in names}
-    step, batch = 0, 32
+    step, batch = 0, BATCH
     for turn in range(rounds):
         order = rng.permutation(len(docs))
         rate = 0.006 * (1 - turn / rounds) + 0.0005
