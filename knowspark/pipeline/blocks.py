@@ -77,12 +77,12 @@ def blocks(text: str | None) -> list[Block]:
 
 def explode_blocks(df: DataFrame, text_col: str, key: str) -> DataFrame:
     """A row for each block of each document."""
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, position int, kind string, text string, level int, path array<string>, page int"
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, position int, kind string, text string, level int, headings array<string>, page int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, i, b.kind, b.text, b.level, list(b.path), b.page) for k, t in zip(pdf[key], pdf[text_col]) for i, b in enumerate(blocks(t))]
-            yield pd.DataFrame(rows, columns=[key, "position", "kind", "text", "level", "path", "page"])
+            yield pd.DataFrame(rows, columns=[key, "position", "kind", "text", "level", "headings", "page"])
 
     return df.select(key, text_col).mapInPandas(run, schema)
 

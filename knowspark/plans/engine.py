@@ -31,7 +31,7 @@ class Catalog:
 
     heads: Mapping[str, DataFrame]
     versions: Mapping[str, DataFrame] = field(default_factory=dict)
-    edges: DataFrame | None = None
+    edges: DataFrame | Callable[[], DataFrame] | None = None
     ontology: Ontology | None = None
     policies: Policies = field(default_factory=Policies)
     embed: Callable[[str], Sequence[float]] | None = None
@@ -165,7 +165,7 @@ class Engine:
 
     def match(self, m: t.Match) -> DataFrame:
         if m.explain:
-            spark = next(iter(self.catalog.heads.values())).sparkSession
+            spark = self.catalog.heads[self.catalog.types(m.entity)[0]].sparkSession
             return spark.createDataFrame(list(enumerate(self.steps(m))), "step int, operator string")
         if m.entity is None:
             return self._walk(m, None)
@@ -193,9 +193,10 @@ class Engine:
         known = {r.name for r in self.catalog.ontology.relationships} if self.catalog.ontology else set()
         if known and m.hop.relation and m.hop.relation not in known:
             raise t.QueryError(t.UNKNOWN_RELATIONSHIP, f"unknown relationship {m.hop.relation!r}")
-        spark = self.catalog.edges.sparkSession
+        edges = self.catalog.edges() if callable(self.catalog.edges) else self.catalog.edges
+        spark = edges.sparkSession
         starts = rows.select(F.col("ko.koid").alias("koid")) if rows is not None else spark.createDataFrame([(m.hop.start,)], "koid string")
-        out = graph.traverse(self.catalog.edges, starts, m.hop.depth, "out", m.hop.relation)
+        out = graph.traverse(edges, starts, m.hop.depth, "out", m.hop.relation)
         return out.orderBy("koid").offset(m.offset).limit(m.limit) if m.limit is not None else out
 
     def analyse(self, query: str | t.Match) -> None:

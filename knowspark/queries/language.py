@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,12 @@ NOW = 1_700_000_000_000
 
 
 def engine(spark: SparkSession, d: str, now: int = NOW, **options) -> Engine:
-    heads = {
-        "Doc": tb.docs(spark, d), "Order": tb.orders(spark, d), "Customer": tb.customers(spark, d), "Supplier": tb.suppliers(spark, d), "Part": tb.parts(spark, d),
-        "Vector": tb.vectors(spark, d), "Hybrid": tb.hybrids(spark, d),
-    }
     from ..operators.temporal import latest
 
-    versions = tb.user_versions(spark, d)
-    heads["User"] = latest(versions)
-    return Engine(Catalog(heads, {"User": versions}, tb.edges(spark, d), embed=lambda text: VECTOR), now=now, **options)
+    makers = {"Doc": tb.docs, "Order": tb.orders, "Customer": tb.customers, "Supplier": tb.suppliers, "Part": tb.parts, "Vector": tb.vectors, "Hybrid": tb.hybrids}
+    heads = tb.Lazy({n: partial(f, spark, d) for n, f in makers.items()} | {"User": lambda: latest(tb.user_versions(spark, d))})
+    versions = tb.Lazy({"User": partial(tb.user_versions, spark, d)})
+    return Engine(Catalog(heads, versions, partial(tb.edges, spark, d), embed=lambda text: VECTOR), now=now, **options)
 
 
 def head(kind: str, key: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,27 @@ from ..schema import view
 DAY = 86_400_000
 
 
+class Lazy(Mapping):
+    """Views by type, each made when first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]) -> None:
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
