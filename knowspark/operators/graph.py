@@ -84,3 +84,18 @@ def relate(edges: DataFrame, new: DataFrame, objects: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, changed: DataFrame, relation: str = "depends_on", depth: int = 6) -> DataFrame:
     """What depends on the changed objects, directly or through others."""
     return traverse(edges, changed, depth, "in", relation)
+
+
+def snapshot_edges(versions: DataFrame, millis: int) -> DataFrame:
+    """(src, rel_type, dst) as the versions of a view held them at an instant."""
+    from .temporal import as_of
+
+    rows = as_of(versions, millis).select("ko.koid", F.explode("ko.relationships").alias("r"))
+    inward = F.col("r.direction") == "in"
+    return rows.select(F.when(inward, F.col("r.target")).otherwise(F.col("koid")).alias("src"), "r.rel_type", F.when(inward, F.col("koid")).otherwise(F.col("r.target")).alias("dst")).distinct()
+
+
+def add_dependency(edges: DataFrame, new: DataFrame, v: DataFrame) -> DataFrame:
+    """DEPENDS_ON edges for (src, dst) between objects that are both active."""
+    active = v.where(F.col("ko.state") == "active").select("ko.koid")
+    return relate(edges, new.select("src", F.lit("DEPENDS_ON").alias("rel_type"), "dst"), active)

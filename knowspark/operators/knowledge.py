@@ -39,7 +39,7 @@ def explain_decision(docs: DataFrame, text: Column, key: Column) -> DataFrame:
     """(id, section, body): the sections Status, Context, Decision and Consequences of decision records."""
     out = None
     for s in ("Status", "Context", "Decision", "Consequences"):
-        body = F.trim(F.regexp_extract(text, rf"(?ms)^#+\s*{s}\s*$\n(.*?)(?=^#|\z)", 1))
+        body = F.regexp_replace(F.regexp_extract(text, rf"(?ms)^#+\s*{s}\s*$\n(.*?)(?=^#|\z)", 1), r"^\s+|\s+$", "")
         part = docs.select(key.alias("id"), F.lit(s).alias("section"), body.alias("body")).where("body <> ''")
         out = part if out is None else out.unionAll(part)
     return out

@@ -67,8 +67,9 @@ def evolve(heads: DataFrame, koid: str, values: Mapping[str, object], at: int) -
     return versioned(heads.where(F.col("koid") == koid), at, properties=F.map_concat(old, new.cast(PROPERTIES)))
 
 
-def transition(heads: DataFrame, koid: str, status: str, at: int) -> tuple[DataFrame, DataFrame]:
-    own = heads.where(F.col("koid") == koid)
+def transition(heads: DataFrame, koid: str | DataFrame, status: str, at: int) -> tuple[DataFrame, DataFrame]:
+    """One object, or those of a frame (koid), moved to a status where that is legal, and the problems of the others."""
+    own = heads.where(F.col("koid") == koid) if isinstance(koid, str) else heads.join(koid.select("koid"), "koid", "left_semi")
     now = F.coalesce("epistemic_status", F.lit("unknown"))
     legal = now.isin([a for a, to in STATUS_STEPS.items() if status in to])
     return versioned(own.where(legal), at, epistemic_status=F.lit(status)), own.where(~legal).select("koid", F.concat(now, F.lit(f" to {status}")).alias("problem"))

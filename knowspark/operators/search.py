@@ -119,3 +119,17 @@ def memory_search(df: DataFrame, name: Column, description: Column, body: Column
     share = [F.size(F.array_intersect(tx.tokens(c), words)) / F.greatest(F.size(words), F.lit(1)) for c in (name, description, body)]
     scored = df.select(key.alias("koid"), (3 * share[0] + 2 * share[1] + 0.5 * share[2]).alias("score"))
     return top(scored.where("score > 0"), k)
+
+
+def ann_approximate(df: DataFrame, vector: Column, query: Sequence[float], k: int, key: Column, tables: int = 8, bucket: float = 0.7, seed: int = 7) -> DataFrame:
+    """Top k by cosine of unit vectors within buckets of random projections; may miss some. Exact search is :func:`ann`."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    own = df.where(vx.norm(vector) > 0).select(key.alias("koid"), vector.alias("_v"))
+    unit = own.select("koid", array_to_vector(F.transform("_v", lambda x: x.cast("double") / vx.norm(F.col("_v")))).alias("features"))
+    size = sum(x * x for x in query) ** 0.5
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
+    near = model.approxNearestNeighbors(unit, Vectors.dense([x / size for x in query]), k, distCol="_d")
+    return top(near.select("koid", (1 - F.col("_d") * F.col("_d") / 2).alias("score")), k)

@@ -444,3 +444,92 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EDGES_SQL} SELECT DISTINCT src AS koid, rel_type, 1 AS depth FROM edges WHERE dst = 'nation/9'")
 def dependency_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(tb.edges(spark, sf_dir), spark.createDataFrame([("nation/9",)], "koid string"), "in_nation", 1)
+
+
+# Scans, snapshots, and the rest of the inventory
+
+
+@query("SELECT 'customer/' || c_custkey AS koid, c_name FROM customer WHERE c_custkey = 77")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.customers(spark, sf_dir).where(F.col("ko.koid") == "customer/77").select("ko.koid", "c_name")
+
+
+@query("SELECT 'customer/' || c_custkey AS koid, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tb.table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(tb.ref("customer", "o_custkey").alias("koid"))
+    c = tb.customers(spark, sf_dir).select("ko.koid", "c_name")
+    return c.join(ids, "koid", "left_semi")
+
+
+@query(f"WITH {USERS_SQL} SELECT koid, arg_max(event_id, commit_ts) AS event_id FROM users WHERE commit_ts <= 1704844800000 * 65536 AND koid IN ('user/5', 'user/6') GROUP BY koid")
+def snapshot_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two objects as they stood at an instant, deletions included."""
+    v = tb.user_versions(spark, sf_dir).where(F.col("ko.koid").isin("user/5", "user/6") & (F.col("ko.commit_ts") <= 1704844800000 << 16))
+    return temporal.latest(v).select("ko.koid", "event_id")
+
+
+@query(f"WITH {EDGES_SQL} SELECT rel_type, count(*) AS n FROM edges WHERE src = 'customer/5' OR dst = 'customer/5' GROUP BY rel_type")
+def edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tb.edges(spark, sf_dir)
+    return e.where((F.col("src") == "customer/5") | (F.col("dst") == "customer/5")).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {USERS_SQL}, s AS (SELECT koid, max(commit_ts) AS c FROM users WHERE commit_ts <= 1705276800000 * 65536 GROUP BY koid)
+           SELECT u.koid AS src, 'last_did' AS rel_type, event_type AS dst FROM users u JOIN s ON u.koid = s.koid AND commit_ts = c WHERE state <> 'deleted'""")
+def snapshot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's reference to what they did last, as of an instant."""
+    v = tb.user_versions(spark, sf_dir)
+    refs = F.array(F.struct(F.lit("last_did").alias("rel_type"), F.col("event_type").alias("target"), F.lit("out").alias("direction")))
+    return graph.snapshot_edges(v.withColumn("ko", F.col("ko").withField("relationships", refs)), 1705276800000)
+
+
+@query("SELECT 'order/' || o_orderkey AS src, 'DEPENDS_ON' AS rel_type, 'order/' || (o_orderkey - 1) AS dst FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey - 1 IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def add_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tb.table(spark, sf_dir, "orders")
+    new = o.select(tb.ref("order", "o_orderkey").alias("src"), tb.ref("order", F.col("o_orderkey") - 1).alias("dst"))
+    return graph.add_dependency(tb.edges(spark, sf_dir), new, tb.orders(spark, sf_dir))
+
+
+@query(f"WITH {STATEMENTS_SQL} SELECT 'fact' AS kind, statement AS item FROM facts WHERE fact LIKE '%BUILDING' UNION ALL SELECT 'relation', 'x near y'")
+def expand_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = tb.statements(spark, sf_dir).withColumn("document", F.split_part("fact", F.lit("/"), F.lit(2)))
+    none = spark.createDataFrame([], "document string, name string")
+    rel = spark.createDataFrame([("BUILDING", "x", "near", "y"), ("other", "a", "near", "b")], "document string, subject string, predicate string, object string")
+    return knowledge.expand_source("BUILDING", none, f, rel)
+
+
+@query("""WITH s AS (SELECT n_name AS name, avg(c_acctbal)::DOUBLE AS score, n_regionkey AS r FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 3),
+          p AS (SELECT x.score AS sa, y.name, row_number() OVER (PARTITION BY x.name ORDER BY y.score DESC, y.name) AS i FROM s x JOIN s y ON x.r = y.r AND x.name <> y.name WHERE x.score > 0),
+          l AS (SELECT name, max(sa * 0.65) AS lift FROM p WHERE i <= 2 GROUP BY name) SELECT s.name, round(greatest(score, coalesce(lift, 0)), 6) AS score FROM s LEFT JOIN l ON s.name = l.name""")
+def neighbour_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, c = tb.table(spark, sf_dir, "nation"), tb.table(spark, sf_dir, "customer")
+    scored = n.join(c, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.avg("c_acctbal").alias("score"))
+    links = n.alias("a").join(n.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).where("a.n_name <> b.n_name").select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+    return knowledge.neighbours(scored, links, 2).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT 'customer/' || c_custkey AS koid, c_name AS name, c_acctbal AS balance, 'Party' AS tag FROM customer")
+def conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.ontology import conform as under
+
+    o = Ontology({"Party": None}, physical={"Party": ("Customer", {"c_name": "name", "c_acctbal": "balance"})})
+    return under(tb.customers(spark, sf_dir), o, "Party").select("ko.koid", "name", "balance", F.element_at("ko.tags", 1).alias("tag"))
+
+
+@query("SELECT 'order/' || o_orderkey AS koid, 'superseded' AS epistemic_status FROM orders WHERE o_orderkey = 3 AND o_orderstatus <> 'P' UNION ALL SELECT 'order/' || o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'asserted' END FROM orders WHERE o_orderkey = 4")
+def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = opened(tb.orders(spark, sf_dir)).where("koid = 'order/4' or epistemic_status is not null")
+    return mutate.supersede(heads, "order/3", "order/4", NOW).select("koid", "epistemic_status")
+
+
+@query("SELECT 'part/9' AS koid, 2::BIGINT AS version, p_brand, 99::BIGINT AS p_size FROM part WHERE p_partkey = 9")
+def evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mutate.evolve(opened(tb.parts(spark, sf_dir)), "part/9", {"p_size": 99}, NOW)
+    return out.select("koid", "version", F.col("properties")["p_brand"]["s"].alias("p_brand"), F.col("properties")["p_size"]["i"].alias("p_size"))
+
+
+@query("SELECT 'order/' || o_orderkey AS koid, CASE WHEN o_orderstatus = 'F' THEN 'contradicted' END AS epistemic_status FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 100")
+def epistemic_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = tb.table(spark, sf_dir, "orders").where("o_orderkey < 100").select(tb.ref("order", "o_orderkey").alias("koid"))
+    heads = opened(tb.orders(spark, sf_dir)).where("epistemic_status = 'verified'")
+    return mutate.transition(heads, few, "contradicted", NOW)[0].select("koid", "epistemic_status")

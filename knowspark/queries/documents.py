@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ontology, search
-from ..pipeline import chunk, compile, context, extract, summary
+from ..pipeline import bridge, chunk, compile, context, extract, summary
 from ..pipeline.blocks import explode_blocks
 from ..schema import view
 from . import query
@@ -161,3 +161,42 @@ def experience_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(e, "Experience", tb.ref("event", "event_id"), confidence=confidence)
     out = search.experiences(v, F.array("event_type"), F.col("event_type"), "purchase now", 15)
     return out.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "koid").limit(15)
+
+
+@query(
+    """SELECT doc_id AS id, 'Decision' AS section, 'take ' || source AS body FROM documents WHERE lang = 'en'
+       UNION ALL SELECT doc_id, 'Status', 'accepted' FROM documents WHERE lang = 'en'"""
+)
+def explain_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision records written from the documents' columns."""
+    from ..operators.knowledge import explain_decision as sections
+
+    d = tb.table(spark, sf_dir, "documents").where("lang = 'en'")
+    record = F.concat(F.lit("# Record\n\n## Status\naccepted\n\n## Decision\n\ntake "), F.col("source"), F.lit("\n\n## Context\n"))
+    return sections(d, record, F.col("doc_id"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('customer', 'references', 'nation'), ('lineitem', 'references', 'supplier') , ('supplier', 'references', 'nation'), ('nation', 'references', 'region'), ('lineitem', 'references', 'part')) t(subject, predicate, object)
+       WHERE object IN ('nation', 'region', 'part')"""
+)
+def schema_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between the test tables, from their columns' names."""
+    names = ("region", "nation", "customer", "supplier", "part", "lineitem")
+    rows = [(t, f.name, f.dataType.simpleString()) for t in names for f in tb.table(spark, sf_dir, t).schema]
+    return bridge.schema_relations(spark.createDataFrame(rows, "table_name string, column_name string, data_type string"))
+
+
+@query("SELECT * FROM (VALUES ('o_orderdate', 'date'), ('o_totalprice', 'number'), ('o_orderpriority', 'text')) t(property, kind)")
+def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tb.table(spark, sf_dir, "orders")
+    columns = ("o_orderdate", "o_totalprice", "o_orderpriority")
+    pairs = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("string").alias("value")) for c in columns])
+    return bridge.value_kinds(o.select(F.explode(pairs).alias("p")).select("p.*"))
+
+
+@query()
+def ann_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors to one of them, by random projections."""
+    e = tb.table(spark, sf_dir, "embeddings")
+    return search.ann_approximate(e, F.col("embedding"), [((i * 37) % 11 - 5) / 5 for i in range(64)], 10, F.col("vec_id"))

@@ -396,3 +396,24 @@ def policy_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tb.table(spark, sf_dir, "events")
     rule, effect = first_match(e, (("errors", F.col("event_type") == "error", "deny"), ("large", F.col("value") > 50, "review"), ("buyers", F.col("event_type") == "purchase", "allow")))
     return e.select("event_id", rule.alias("rule"), effect.alias("effect"))
+
+
+@query(f"SELECT {head('Part', 'p_partkey')}, p_name FROM part WHERE p_size = 11 AND p_brand = 'Brand#2'")
+def stored_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.programs import Program, Runner
+
+    p = Program("parts", "MATCH Part WHERE p_size == {{size}} AND p_brand == {{brand}} RETURN p_name")
+    return Runner(engine(spark, sf_dir)).run(p, {"size": 11, "brand": "Brand#2"})
+
+
+@query("SELECT p_brand, count(*) AS parts FROM part WHERE p_size > 40 GROUP BY p_brand")
+def named_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.programs import create_view
+
+    create_view(engine(spark, sf_dir), spark, "large_parts", "MATCH Part WHERE p_size > 40 RETURN *")
+    return spark.sql("SELECT p_brand, count(*) AS parts FROM large_parts GROUP BY p_brand")
+
+
+@query(f"WITH {EDGES_SQL} SELECT dst AS koid, rel_type, 1 AS depth FROM edges WHERE src = 'order/1'")
+def json_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).run(parse_json('{"traverse": {"start": "order/1"}}'))

@@ -238,3 +238,38 @@ def test_idempotency(spark):
     assert mutate.remember(req, heads, 5)[0].count() == 1
     seen = spark.createDataFrame([("same",)], "idempotency string")
     assert mutate.remember(req, heads, 5, seen)[0].count() == 0
+
+
+def test_programs(spark):
+    from knowspark.plans.programs import Program, Runner, json_chunks
+
+    e = Engine(Catalog({"Person": people(spark)}))
+    p = Program("by_name", "MATCH Person WHERE name == {{who}} OR age == {{ age }} RETURN name")
+    assert ids(e.run(p.statement({"who": 'x" OR name != "', "age": 41}))) == ["c"]
+    with pytest.raises(KeyError):
+        p.statement({"who": "a"})
+    r = Runner(e)
+    first = r.run(p, {"who": "Ann", "age": 0}, "run-1")
+    assert r.run(p, {"who": "Bob", "age": 0}, "run-1") is first
+    assert [len(c) for c in json_chunks(people(spark).select("name", "age"), 3)] == [3, 1]
+
+
+def test_bridge(spark):
+    from knowspark.pipeline import bridge
+    from knowspark.pipeline.blocks import explode_blocks
+
+    cols = spark.createDataFrame([("orders", "customer_id", "int"), ("customers", "id", "int"), ("customers", "name", "text")], "table_name string, column_name string, data_type string")
+    assert [(r.subject, r.object) for r in bridge.schema_relations(cols).collect()] == [("orders", "customers")]
+    assert {r.name: r.mentions for r in bridge.schema_entities(cols).collect()} == {"orders": ["customer_id"], "customers": ["id", "name"]}
+    d = spark.createDataFrame([(1, "text\n\n![A red plot](x.png)\n\nmore")], "doc_id long, text string")
+    figures = bridge.visual_index(explode_blocks(d, "text", "doc_id"), "doc_id")
+    assert [(r.figure, r.caption, r.link) for r in figures.collect()] == [("1/figure-1", "A red plot", "x.png")]
+    assert bridge.similar_figures(figures, "red").count() == 1 and bridge.similar_figures(figures, "blue").count() == 0
+
+
+def test_approximate_search_finds_most(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(300)
+    q = e.first().embedding
+    exact = {r.koid for r in search.ann(e, F.col("embedding"), q, 10, F.col("vec_id")).collect()}
+    near = {r.koid for r in search.ann_approximate(e, F.col("embedding"), q, 10, F.col("vec_id"), tables=24, bucket=1.5).collect()}
+    assert len(exact & near) >= 9
