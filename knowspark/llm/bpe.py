@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .words import text_buffer
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 PIECE = 2 << 20
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 SAFE_CUT = re.compile(rb"[A-Za-z0-9.,] (?=[A-Za-z])")
 
 
@@ -260,7 +261,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1, 4 << 20)):
             ids, counts = e.encode(b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "ids"])
@@ -287,7 +288,7 @@ def digests(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1, 4 << 20)):
             ids, counts = e.encode(b.column(1))
             last = np.cumsum(counts)
             shas, back = [], []

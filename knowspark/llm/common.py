@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +70,26 @@ def dealt(df: DataFrame, size: int, *columns: str, most: int = 64 << 20) -> Data
     return df.repartition(parts, *columns)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text and at most ``rows`` rows, so that working memory stays small."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))
+        z = min(max(z, a + 1), a + rows)
+        yield batch.slice(a, z - a)
+        a = min(z, len(ends))
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def scratch() -> str:
     """Where one task attempt may spill, as Spark's own shuffle does: its executor's local dirs, else the temp folder."""
     for name in ("LOCAL_DIRS", "SPARK_LOCAL_DIRS"):

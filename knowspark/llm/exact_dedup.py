@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, fresh, input_bytes, scratch
+from .common import dealt, fresh, input_bytes, release, scratch, slices
 
 WHITE = b" \t\n\v\f\r"
-BUDGET = 48 << 20
+BUDGET = 24 << 20
 FANOUT = 16
 
 
@@ -155,28 +155,35 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def _rows(batches: Iterator[pa.RecordBatch], text_at: int, fields: list[pa.Field]) -> Iterator[tuple]:
+    """The batches' rows as tuples; notes the columns in ``fields``."""
+    for batch in batches:
+        fields[:] = [pa.field(f.name, f.type) for f in batch.schema]
+        for part in slices(batch, text_at):
+            yield from zip(*(c.to_pylist() for c in part.columns))
+
+
 def _combine(id_at: int, text_at: int, width: int, budget: int):
     """Scan side: the rows' own columns, then hash and count; copies seen together leave one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             table = OpenTable()
-            for batch in batches:
-                fields[:] = [pa.field(f.name, f.type) for f in batch.schema]
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    text = row[text_at]
-                    key = normal(text)
-                    h = xxhash.xxh3_64_intdigest(key)
-                    value = (len(text or ""), row[id_at], 1, row)
-                    at = table.find(h, key)
-                    if at >= 0:
-                        table.values[at] = _better(table.values[at], value)
-                    else:
-                        table.add(at, h, key, value, 2 * len(key))
-                        if table.bytes > budget:
-                            yield from flush(table)
-                            table = OpenTable()
+            for row in _rows(batches, text_at, fields):
+                text = row[text_at]
+                key = normal(text)
+                h = xxhash.xxh3_64_intdigest(key)
+                value = (len(text or ""), row[id_at], 1, row)
+                at = table.find(h, key)
+                if at >= 0:
+                    table.values[at] = _better(table.values[at], value)
+                else:
+                    table.add(at, h, key, value, 2 * len(key))
+                    if table.bytes > budget:
+                        yield from flush(table)
+                        table = OpenTable()
             yield from flush(table)
+            release()
 
         def flush(table: OpenTable) -> Iterator[tuple]:
             for h, key, v in zip(table.hashes, table.keys, table.values):
@@ -209,18 +216,18 @@ def _reduce(id_at: int, text_at: int, width: int, budget: int):
         grace = GraceTable(_better, budget)
         fields: list[pa.Field] = []
         try:
-            for batch in batches:
-                fields[:] = list(batch.schema)[:width]
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    text, h = row[text_at], row[width]
-                    key = normal(text)
-                    grace.add(h & (1 << 64) - 1, key, (len(text or ""), row[id_at], row[width + 1], row[:width]), 2 * len(key))
+            for row in _rows(batches, text_at, fields):
+                text, h = row[text_at], row[width]
+                key = normal(text)
+                grace.add(h & (1 << 64) - 1, key, (len(text or ""), row[id_at], row[width + 1], row[:width]), 2 * len(key))
+            del fields[width:]
             if fields:
                 schema = pa.schema([*fields, pa.field("n", pa.int64()), pa.field("sha", pa.string())])
                 out = ((v[3] + (v[2], hashlib.sha256(key).hexdigest()), len(key)) for _, key, v in grace.results())
                 yield from _batches(out, schema)
         finally:
             grace.close()
+            release()
 
     return run
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, input_bytes
+from .common import cut, fresh, input_bytes, release, slices
 from .components import connected_components
 from .substring_dedup import BLOCK_BYTES, HASHES, answer_repeats, no_rows, pack_array, ranges
 from .words import join, mix, shingles, word_hashes
@@ -116,8 +116,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, a 128-bit hash of the shingle set, its size and the band keys (null for a text without words)."""
     for whole in batches:
-        for a in range(0, whole.num_rows, 1000):
-            b = whole.slice(a, 1000)
+        for b in slices(whole, 1):
             hashes, _, _, counts = word_hashes(b.column(1))
             row, gram = shingles(hashes, counts, SHINGLE)
             n = np.bincount(row, minlength=b.num_rows)
@@ -132,6 +131,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.where(n > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums), pa.array(n, pa.int64()), lists], ["id", "sa", "sb", "n", "bands"])
+    release()
 
 
 def _send_shingles(buckets: int):
@@ -190,8 +190,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, role, id, text), sorted: for each a and salt a's own text (role 0), then those to compare with it."""
     now, sets = None, []
     for whole in batches:
-        for start in range(0, whole.num_rows, 500):
-            batch = whole.slice(start, 500)
+        for batch in slices(whole, 4):
             hashes, _, _, counts = word_hashes(batch.column(4))
             row, gram = shingles(hashes, counts, SHINGLE)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -212,6 +211,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((a[i], ids[i], similar, one[0], one[1], one[2]))
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["a", "b", "similar", "an", "both", "lacks"])
+    release()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:

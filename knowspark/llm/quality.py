@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release, slices
 from .words import text_buffer
 
 CHUNK, STEP = 512, 448
@@ -220,9 +221,10 @@ def score(df: DataFrame, net: Network, text_col: str, score_col: str) -> DataFra
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, at, 8 << 20)):
             scores = pa.array(score_texts(shared.value, b.column(at)), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*[f"c{i}" for i in range(b.num_columns)], "score"])
+        release()
 
     names = [*df.columns, score_col]
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)] + [T.StructField("score", T.DoubleType())])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, input_bytes
+from .common import fresh, input_bytes, release
 from .words import grams, word_hashes
 
 WINDOW = 20
@@ -42,6 +42,7 @@ class Block:
         self.table = group.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])  # the same order in every pass
         self.window = window
         text = self.table["text"].combine_chunks()
+        release()  # of the block before
         if isinstance(text, pa.ChunkedArray):
             text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
         self.text = text

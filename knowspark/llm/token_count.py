@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, NUMBER, SPACE, classes, code_points, unique_pieces
+from .common import slices
 
 CHUNK = 256
 PIECE = 1 << 20
-STATES, REMEMBERED = 60_000, 600_000
+STATES, REMEMBERED = 60_000, 400_000
 LIMIT = 2048
 
 # Classes of characters: white space, other, number, letter, apostrophe, one of s t m d, then r v l e.
@@ -282,8 +283,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for part in slices(b, 1, 4 << 20):
                 counts = pa.array(c.count(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.compute.binary_length(part.column(1).fill_null("")).cast(pa.int64()), counts], ["doc_id", "n_bytes", "n_tokens"])
 
