@@ -214,11 +214,11 @@ def embedding_groups(df: DataFrame, threshold: float = THRESHOLD, id_col: str =
     keys = [F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), F.col("v"))).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
     keyed = own.select("vec_id", "v", *keys)
     distinct = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
-    distinct = cut(distinct)
-    vectors = distinct.select("id", "weight", "v")
+    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
+    vectors = distinct.select("node", "weight", "v")
     n = vectors.count()
     kind = np.float32 if "float" in own.schema["v"].dataType.simpleString() else np.float64
-    sample = vectors.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = distinct.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE).select("v").toPandas()["v"]
     common = int(sample.map(len).mode().iloc[0]) if len(sample) else 1
     x = np.array([v for v in sample if len(v) == common], np.float64).reshape(-1, common)
     k = max(1, min(MOST_CELLS, n // PER_CELL, len(x)))
@@ -231,9 +231,10 @@ def embedding_groups(df: DataFrame, threshold: float = THRESHOLD, id_col: str =
     found = rows.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_compare(threshold, kind), "id long, links long, other long")
     found = cut(found)
     labels = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    known = distinct.select("k1", "k2", "id", "weight").join(links, "id", "left").join(labels, "id", "left")
-    known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = keyed.drop("v").join(known, ["k1", "k2"], "left")
+    links = found.where("links is not null").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    known = distinct.drop("v").join(links, "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    known = known.select("k1", "k2", "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("root"))
+    least = known.groupBy("root").agg(F.min("id").alias("c"))
+    out = keyed.drop("v").join(known.join(least, "root").select("k1", "k2", "n", "c"), ["k1", "k2"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -225,7 +225,7 @@ def test_dart_minhash_estimates(weighted):
 
 def brute_links(rows, threshold=0.95):
     good = [(n, i, np.array(v, float)) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    links, parent = [0] * len(rows), {i: i for i, _ in rows}
+    links, parent = [0] * len(rows), list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -237,9 +237,12 @@ def brute_links(rows, threshold=0.95):
             if len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= threshold:
                 links[n] += 1
                 links[m] += 1
-                a, b = find(i), find(j)
+                a, b = find(n), find(m)
                 parent[max(a, b)] = min(a, b)
-    return sorted(((i, links[n], None if i is None else find(i)) for n, (i, _) in enumerate(rows)), key=repr)
+    least = defaultdict(list)
+    for n, i, _ in good:
+        least[find(n)].append(i)
+    return sorted(((i, links[n], min(least.get(find(n), [i]), key=lambda x: (x is None, x))) for n, (i, _) in enumerate(rows)), key=repr)
 
 
 def embedding_rows(df):
@@ -257,7 +260,7 @@ def test_embedding_cases(spark, monkeypatch):
             rows.append((n, (base + rng.normal(size=8) * 0.12 * (k % 5)).astype(np.float32).tolist()))
             n += 1
     rows += [(n, rows[3][1]), (n + 1, rows[3][1]), (n + 2, [x * 3 for x in rows[3][1]]), (n + 3, None), (n + 4, [0.0] * 8), (n + 5, [float("nan")] + [1.0] * 7), (n + 6, [float("inf")] + [1.0] * 7)]
-    rows += [(n + 7, [None] + [1.0] * 7), (n + 8, []), (n + 9, [1.0, 2.0]), (n + 10, [2.0, 4.0]), (None, rows[3][1]), (n + 11, [1e30] * 8), (n + 12, [1e-30] * 8)]
+    rows += [(n + 7, [None] + [1.0] * 7), (n + 8, []), (n + 9, [1.0, 2.0]), (n + 10, [2.0, 4.0]), (None, rows[3][1]), (n + 11, [1e30] * 8), (n + 12, [1e-30] * 8), (5, rows[40][1]), (5, [9.0] + [0.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("n_links", F.lit("x"))
     out = embedding_dedup.embedding_groups(df)
     assert embedding_rows(out) == brute_links(rows)
