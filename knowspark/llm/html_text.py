@@ -51,19 +51,22 @@ MARKS = frozenset(
     " notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations"
     " pagination pager widget widgets contentinfo complementary search searchbox dialog hidden skip toc copyright legal disclaimer feedback rating ratings header".split()
 )
+#: Of these, names that layouts also give to what surrounds the article.
+SURROUND = frozenset("sidebar sidenav nav menu header banner share sharing social related widget widgets search notice modal overlay popup hidden skip toc".split())
 WHOLE = frozenset("article main".split())
+HARD, SOFT, MAYBE = 1, 2, 3
 
 
 class Block:
-    __slots__ = ("path", "trail", "text", "linked", "bad", "heading")
+    __slots__ = ("path", "trail", "text", "linked", "bad", "marks")
 
-    def __init__(self, path, trail, text, linked, bad, heading):
-        self.path, self.trail, self.text, self.linked, self.bad, self.heading = path, trail, text, linked, bad, heading
+    def __init__(self, path, trail, text, linked, bad, marks):
+        self.path, self.trail, self.text, self.linked, self.bad, self.marks = path, trail, text, linked, bad, marks
 
 
-def _marked(name: str, attrs: str) -> tuple[str, bool]:
-    """The path name of an element, and whether its names mark it as boilerplate."""
-    bad, label = name in NOT_CONTENT, name
+def _marked(name: str, attrs: str) -> tuple[str, int]:
+    """The path name of an element, and how its names mark it as boilerplate: not (0), surely, by class, or perhaps."""
+    bad, label = HARD if name in NOT_CONTENT else 0, name
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             key = (m[1] or m[5]).lower()
@@ -72,17 +75,17 @@ def _marked(name: str, attrs: str) -> tuple[str, bool]:
                 words = WORD.findall(value.lower())
                 if key == "class" and words:
                     label = f"{name}.{words[0]}"
-                if name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words):
-                    bad = True
+                if name not in ("html", "body", "article", "main") and (found := MARKS.intersection(words)) and bad != HARD:
+                    bad = MAYBE if found <= SURROUND and bad != SOFT else SOFT
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                bad = True
+                bad = HARD
     return label, bad
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; white space within each is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # name, path name, boilerplate, number
+    stack: list[tuple[str, str, int, int]] = []  # name, path name, mark, number
     held: list[tuple[str, bool]] = []
     links = at = number = 0
 
@@ -95,9 +98,10 @@ def blocks(page: str) -> list[Block]:
                 names = [s[0] for s in stack]
                 inner = any(n in WHOLE for n in names)
                 heading = any(n in HEADINGS for n in names)
-                bad = any(b for _, _, b, _ in stack) or "header" in names and not (inner and heading)
+                bad = any(b == HARD for _, _, b, _ in stack) or "header" in names and not (inner and heading)
                 linked = sum(len(t.strip()) for t, a in held if a)
-                out.append(Block("/".join(s[1] for s in stack), tuple((s[0], s[3]) for s in stack), text, linked, bad, heading))
+                marks = [(s[3], s[2]) for s in stack if s[2] > HARD]
+                out.append(Block("/".join(s[1] for s in stack), tuple((s[0], s[3]) for s in stack), text, linked, bad, marks))
             held = []
 
     def pop_to(i: int) -> None:
@@ -167,7 +171,22 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else at
     flush()
-    return out
+    return _settle(out)
+
+
+def _settle(found: list[Block]) -> list[Block]:
+    """Marks by class count unless the element surrounds the article: holds one, or, where the name may mean that, most text."""
+    inside: dict[int, int] = {}
+    holds: set[int] = set()
+    for b in found:
+        for number, _ in b.marks:
+            inside[number] = inside.get(number, 0) + len(b.text)
+            if any(n in WHOLE and i > number for n, i in b.trail):
+                holds.add(number)
+    total = sum(len(b.text) for b in found)
+    for b in found:
+        b.bad = b.bad or any(number not in holds and not (mark == MAYBE and 2 * inside[number] > total) for number, mark in b.marks)
+    return found
 
 
 def path_scores(found: list[Block]) -> list[float]:

@@ -128,6 +128,14 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_wrappers_named_like_boilerplate():
+    body = "<h2>Head</h2><p>Long text, with many words; and more of them, so that it counts.</p><p>Short.</p>"
+    want = "Head\nLong text, with many words; and more of them, so that it counts.\nShort."
+    assert html_text.main_text(f'<div class="has-sidebar">{body}<div class=sidebar><p>Side, by side.</p></div></div>') == want
+    assert html_text.main_text(f'<div class="comments-on"><article>{body}</article><p>x</p></div>') == want
+    assert html_text.main_text(f'<main>{body}<div class=comments>{"<p>Nice, very nice. Really, it is.</p>" * 9}</div></main>') == want
+
+
 def test_deep_and_long_page():
     page = "<div>" * 2000 + "<p>" + "word, " * 50_000 + "</p>" + "<p>x</p>" * 3000
     assert len(html_text.main_text(page).split("\n")) == 3001
