@@ -20,25 +20,32 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(F.array_sort(values), F.floor((F.size(values) - 1) * p).cast("int") + 1)
 
 
-def nearest_rank_rows(df: DataFrame, value: str, p: float, by: list[str], share_of_n: bool = False) -> DataFrame:
-    """The same by counting instead of gathering: a group's values are summed up to counts of distinct values first.
+def nearest_rank_rows(df: DataFrame, value: str, p: float, by: list[str], share_of_n: bool = False, band: float = 0.001) -> DataFrame:
+    """The same by counting instead of gathering, exact at any size of group.
 
-    Rank floor((n - 1) p), or floor(n p) with ``share_of_n``; both from 0.
+    A quantile sketch gives each group a narrow band that holds the rank; values below it are only counted, those above
+    dropped, so what has to be sorted is a thousandth or so of the group. The rank is floor((n - 1) p), or floor(n p)
+    with ``share_of_n``; both from 0.
     """
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*by).orderBy(value)
-    counts = counts.withColumn("_upto", F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    own = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_g") if by else F.lit(0).alias("_g"), F.col(value).alias("_v"))
+    edges = F.percentile_approx("_v", F.array(F.lit(max(0.0, p - band)), F.lit(min(1.0, p + band))), 10_000)
+    bounds = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), edges.alias("_b"))
+    rows = own.join(bounds, own["_g"].eqNullSafe(bounds["_g"])).drop(bounds["_g"]).where(F.col("_v") <= F.col("_b")[1])
+    inside = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))
+    counts = rows.groupBy("_g", "_n", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    up = Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_c").over(up))
     rank = F.floor(F.col("_n") * p) if share_of_n else F.floor((F.col("_n") - 1) * p)
-    good = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-    return counts.where(good).select(*by, value)
+    good = F.col("_v").isNotNull() & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+    return counts.where(good).select(*[F.col("_g")[c].alias(c) for c in by], F.col("_v").alias(value))
 
 
 def staleness(df: DataFrame, age: str, p: float = 0.95) -> DataFrame:
     """(objects, mean, most, p): truncated mean, maximum and nearest-rank percentile of an integer age."""
     total = df.agg(F.count(age).alias("objects"), F.floor(F.avg(age)).alias("mean_age"), F.max(age).alias("max_age"))
-    rank = nearest_rank_rows(df.withColumn("_g", F.lit(0)), age, p, ["_g"]).select(F.col(age).alias("p_age"))
+    rank = nearest_rank_rows(df, age, p, []).select(F.col(age).alias("p_age"))
     return total.join(F.broadcast(rank))  # one row
 
 

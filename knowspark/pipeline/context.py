@@ -20,9 +20,13 @@ def task_words(task: str) -> list[str]:
     return [w for w in tx.query_tokens(task) if len(w) >= 3 and w not in STOPWORDS]
 
 
-def keyword_score(text: Column, words: Sequence[str]) -> Column:
-    """A point for each task word that is a word of the text, 0.3 for one that only shares its first four letters."""
-    own = tx.tokens(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2"))
+def words_of(text: Column) -> Column:
+    """The words of a text, those of joined names (camelCase) one by one."""
+    return tx.tokens(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2"))
+
+
+def keyword_score(own: Column, words: Sequence[str]) -> Column:
+    """A point for each task word among a text's words, 0.3 for one that only shares its first four letters."""
     score = F.lit(0.0)
     for w in words:
         near = F.exists(own, _starts(w[:4])) if len(w) >= 4 else F.lit(False)
@@ -34,12 +38,22 @@ def _starts(prefix: str):
     return lambda x: x.startswith(prefix)
 
 
+def prepared(units: DataFrame) -> DataFrame:
+    """units (unit, kind, name, text, mentions) with their words, which all tasks share."""
+    entity = F.col("kind") == "entity"
+    return units.select(
+        "unit", "kind", "name", "text", "mentions", F.when(entity, words_of(F.col("name"))).alias("_name"), F.when(entity, words_of(F.concat_ws(" ", "mentions"))).alias("_mentions"),
+        F.when(~entity, words_of(F.col("text"))).alias("_text"), F.when(entity, False).otherwise(tx.is_injection(F.col("text"))).alias("_injected"),
+    )
+
+
 def score_units(units: DataFrame, words: Sequence[str]) -> DataFrame:
     """units (unit, kind, name, text, mentions) with a score: names count whole, mentions half, with a bonus for many."""
-    name, mentions = keyword_score(F.col("name"), words), keyword_score(F.concat_ws(" ", "mentions"), words)
-    entity = (name + 0.5 * mentions) * (1 + F.least(0.1 * F.size(F.coalesce("mentions", F.array().cast("array<string>"))), F.lit(0.5)))
-    other = F.when(tx.is_injection(F.col("text")), 0.0).otherwise(keyword_score(F.col("text"), words))
-    return units.withColumn("score", F.when(F.col("kind") == "entity", entity).otherwise(other))
+    own = units if "_injected" in units.columns else prepared(units)
+    bonus = 1 + F.least(0.1 * F.size(F.coalesce("mentions", F.array().cast("array<string>"))), F.lit(0.5))
+    entity = (keyword_score(F.col("_name"), words) + 0.5 * keyword_score(F.col("_mentions"), words)) * bonus
+    other = F.when(F.col("_injected"), 0.0).otherwise(keyword_score(F.col("_text"), words))
+    return own.withColumn("score", F.when(F.col("kind") == "entity", entity).otherwise(other)).drop("_name", "_mentions", "_text", "_injected")
 
 
 ORDER = {"entity": 0, "fact": 1, "relation": 2}
@@ -69,17 +83,17 @@ def pack(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
     return pd.concat(out) if out else rows.iloc[:0]
 
 
-def compile_context(units: DataFrame, tasks: DataFrame, budget: int = 300) -> DataFrame:
+def compile_context(units: DataFrame, tasks: DataFrame, budget: int = 300, candidates: int = 100_000) -> DataFrame:
     """(task, unit, kind, text, score, tokens) for tasks (task, question).
 
-    Tasks are few and known to the caller, so each gets its own scored scan; candidates for packing are the units that
-    score, which a word of the task bounds.
+    Tasks are few and known to the caller, so each gets its own scored scan. Packing looks at the ``candidates`` best
+    units of a task; those are many more than a budget can hold.
     """
-    out = None
+    out, units = None, prepared(units)
     for row in tasks.collect():  # one line for each question that was asked
         words = task_words(row.question)
-        scored = score_units(units, words).where("score > 0").withColumn("task", F.lit(row.task))
-        best = scored.orderBy(F.col("score").desc(), "unit").limit(max(1000, budget))  # no more than the budget has tokens can be packed
+        scored = score_units(units, words).withColumn("task", F.lit(row.task))
+        best = scored.orderBy(F.col("score").desc(), "unit").limit(candidates).where("score > 0")  # earlier, it would be pushed down and score twice
         out = best if out is None else out.unionAll(best)
     kinds = {f.name: f.dataType.simpleString() for f in out.schema}
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import provenance
+from .plans.lineage import numbered
 from .schema import EDGES, JOURNAL, VERSIONS
 
 
@@ -62,8 +63,8 @@ class Store:
         old = self.journal()
         top = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first().s
         last = old.groupBy("koid").agg(F.max_by("own_hash", "seq").alias("prev_hash"))
-        new = rows.select("koid", "version", "origin", F.row_number().over(_by_koid()).alias("seq"), payload(rows).alias("payload_hash"))
-        new = new.withColumn("seq", F.col("seq").cast("long") + top).join(last, "koid", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(provenance.GENESIS)))
+        new = numbered(rows.select("koid", "version", "origin", payload(rows).alias("payload_hash")), "seq", "koid", "version")
+        new = new.withColumn("seq", F.col("seq") + top).join(last, "koid", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(provenance.GENESIS)))
         new = new.select("*", F.lit(kind).alias("kind"), F.lit(actor).alias("actor"), F.lit(at).cast("long").alias("ts"), F.lit(None).cast("string").alias("signature"), F.lit(note).cast("string").alias("note"))
         new = new.withColumn("own_hash", provenance.own_hash())
         new.select(*[c.split()[0] for c in JOURNAL.split(", ")]).write.mode("append").parquet(f"{self.path}/journal")
@@ -89,12 +90,6 @@ class Store:
         return Store(self.spark, path)
 
 
-def _by_koid():
-    from pyspark.sql import Window
-
-    return Window.orderBy("koid", "version")
-
-
 def payload(rows: DataFrame):
     """A hash of a version's properties, keys in order."""
     entries = F.array_sort(F.map_entries("properties"))

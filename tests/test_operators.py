@@ -273,3 +273,22 @@ def test_approximate_search_finds_most(spark, sf):
     exact = {r.koid for r in search.ann(e, F.col("embedding"), q, 10, F.col("vec_id")).collect()}
     near = {r.koid for r in search.ann_approximate(e, F.col("embedding"), q, 10, F.col("vec_id"), tables=24, bucket=1.5).collect()}
     assert len(exact & near) >= 9
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    from knowspark.operators.evals import nearest_rank_rows
+    from knowspark.plans.lineage import numbered
+
+    r = random.Random(2)
+    rows = [("a", float(r.randint(0, 50))) for _ in range(999)] + [("b", r.random()) for _ in range(20_000)] + [(None, 1.0), ("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for p in (0.0, 0.5, 0.95, 0.999):
+        got = {x.g: x.v for x in nearest_rank_rows(df, "v", p, ["g"], share_of_n=True).collect()}
+        for g in ("a", "b", "d", None):
+            v = sorted(y for x, y in rows if x == g and y is not None)
+            assert got[g] == v[int(len(v) * p)]
+        assert "c" not in got
+    n = [(x.g, x.v, x.i) for x in numbered(df.where("g = 'b'"), "i", "v").collect()]
+    assert sorted(x[2] for x in n) == list(range(1, 20_001)) and [x[1] for x in sorted(n, key=lambda x: x[2])] == sorted(x[1] for x in n)
