@@ -10,7 +10,7 @@ Each page is handled by itself, so partitions need nothing from each other.
 
 Defined results: null or empty html, and pages without text, give an empty string; unclosed, misnested and stray tags are
 repaired as browsers do for paragraphs and list items; an unclosed comment or script runs to the end; ``br`` is white
-space; ids and urls may be null or repeated; an empty table gives an empty result; other columns are ignored.
+space; elements nested deeper than 512 levels lie flat at that level; ids and urls may be null or repeated; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ MARKS = frozenset(
 #: Of these, names that layouts also give to what surrounds the article.
 SURROUND = frozenset("sidebar sidenav nav menu header banner share sharing social related widget widgets search notice modal overlay popup hidden skip toc".split())
 WHOLE = frozenset("article main".split())
+DEEPEST = 512
 HARD, SOFT, MAYBE = 1, 2, 3
 
 
@@ -166,7 +167,8 @@ def blocks(page: str) -> list[Block]:
                             pop_to(i)
                             break
                 number += 1
-                stack.append((name, label, bad, number))
+                if len(stack) < DEEPEST:
+                    stack.append((name, label, bad, number))
         elif attrs and not closing and _marked(name, attrs)[1]:  # an inline element that names itself boilerplate
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else at
