@@ -83,7 +83,7 @@ def pack(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
     return pd.concat(out) if out else rows.iloc[:0]
 
 
-def compile_context(units: DataFrame, tasks: DataFrame, budget: int = 300, candidates: int = 100_000) -> DataFrame:
+def compile_context(units: DataFrame, tasks: DataFrame, budget: int = 300, candidates: int = 20_000) -> DataFrame:
     """(task, unit, kind, text, score, tokens) for tasks (task, question).
 
     Tasks are few and known to the caller, so each gets its own scored scan. Packing looks at the ``candidates`` best
