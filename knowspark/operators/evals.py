@@ -20,11 +20,14 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(F.array_sort(values), F.floor((F.size(values) - 1) * p).cast("int") + 1)
 
 
+SMALL = 10_000
+
+
 def nearest_rank_rows(df: DataFrame, value: str, p: float, by: list[str], share_of_n: bool = False, band: float = 0.001) -> DataFrame:
     """The same by counting instead of gathering, exact at any size of group.
 
     A quantile sketch gives each group a narrow band that holds the rank; values below it are only counted, those above
-    dropped, so what has to be sorted is a thousandth or so of the group. The rank is floor((n - 1) p), or floor(n p)
+    dropped, so what has to be sorted is a thousandth or so of the group; groups up to SMALL are sorted whole. The rank is floor((n - 1) p), or floor(n p)
     with ``share_of_n``; both from 0.
     """
     from pyspark.sql import Window
@@ -32,8 +35,9 @@ def nearest_rank_rows(df: DataFrame, value: str, p: float, by: list[str], share_
     own = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_g") if by else F.lit(0).alias("_g"), F.col(value).alias("_v"))
     edges = F.percentile_approx("_v", F.array(F.lit(max(0.0, p - band)), F.lit(min(1.0, p + band))), 10_000)
     bounds = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), edges.alias("_b"))
-    rows = own.join(bounds, own["_g"].eqNullSafe(bounds["_g"])).drop(bounds["_g"]).where(F.col("_v") <= F.col("_b")[1])
-    inside = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))
+    bounds = bounds.withColumn("_b", F.when(F.col("_n") > SMALL, F.col("_b")))
+    rows = own.join(bounds, own["_g"].eqNullSafe(bounds["_g"])).drop(bounds["_g"]).where(F.coalesce(F.col("_v") <= F.col("_b")[1], F.lit(True)))
+    inside = F.when(F.coalesce(F.col("_v") >= F.col("_b")[0], F.lit(True)), F.col("_v"))
     counts = rows.groupBy("_g", "_n", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     up = Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_upto", F.sum("_c").over(up))
