@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 def valid_at(start: Column, end: Column, at: Column | int) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
-    return F.coalesce(start <= at, F.lit(True)) & F.coalesce(end > at, F.lit(True))
+    return (start.isNull() | (start <= at)) & (end.isNull() | (end > at))
 
 
 def overlaps(start: Column, end: Column, a: int, b: int) -> Column:
     """Whether ``[start, end)`` meets ``[a, b)``; an empty validity (start = end) meets nothing."""
-    return F.coalesce(start < b, F.lit(True)) & F.coalesce(end > a, F.lit(True)) & F.coalesce(start < end, F.lit(True))
+    return (start.isNull() | (start < b)) & (end.isNull() | (end > a)) & (start.isNull() | end.isNull() | (start < end))
 
 
 def commit_ts(millis: Column, counter: Column) -> Column:

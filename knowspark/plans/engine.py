@@ -91,13 +91,13 @@ class Engine:
 
     def scan(self, m: t.Match) -> DataFrame:
         names = self.catalog.types(m.entity)
-        heads = union_types([self.catalog.heads[n] for n in names]).where((F.col("ko.state") != "deleted") & self._allowed())
+        heads = union_types([self._needed(self.catalog.heads[n], m) for n in names]).where((F.col("ko.state") != "deleted") & self._allowed())
         kind = m.span.kind if m.span else ""
         if kind in ("as_of", "historical"):
             missing = [n for n in names if n not in self.catalog.versions]
             if missing:
                 raise t.QueryError(t.UNKNOWN_TYPE, f"no versions of {missing[0]!r}")
-            versions = union_types([self.catalog.versions[n] for n in names]).where(self._allowed())
+            versions = union_types([self._needed(self.catalog.versions[n], m) for n in names]).where(self._allowed())
             rows = temporal.as_of(versions, m.span.start) if kind == "as_of" else temporal.history(versions, heads)
         elif kind == "between":
             rows = heads.where(temporal.overlaps(F.col("ko.valid_from"), F.col("ko.valid_to"), m.span.start, m.span.end))
@@ -110,6 +110,13 @@ class Engine:
             rows = rows.where(F.coalesce(F.exists("ko.evidence", lambda e: e["source_artifact"] == m.source), F.lit(False)))
         return rows.where(self.condition(rows, m.where)) if m.where is not None else rows
 
+    def _needed(self, v: DataFrame, m: t.Match) -> DataFrame:
+        """Only the properties that the query uses: Catalyst cannot prune columns inside the newest-version aggregate."""
+        if m.fields is None or m.similar:
+            return v
+        used = set(m.fields) | t.names(m.where)
+        return v.select("ko", *[c for c in v.columns if c != "ko" and c in used])
+
     def condition(self, df: DataFrame, c: t.Condition) -> Column:
         if isinstance(c, t.Both):
             return self.condition(df, c.left) & self.condition(df, c.right)
@@ -118,7 +125,10 @@ class Engine:
         return self.compare(df, c)
 
     def compare(self, df: DataFrame, c: t.Compare) -> Column:
-        """Typed comparison: a missing property or another kind of value equals nothing and is in no range; numbers promote."""
+        """Typed comparison: a missing property or another kind of value equals nothing and is in no range; numbers promote.
+
+        A null result counts as false (conditions have no NOT), so plain comparisons reach the scan.
+        """
         if c.name not in df.columns or c.name == "ko":
             return F.lit(c.op == "!=")
         col, kind = F.col(c.name), kind_of(df.schema[c.name].dataType)
@@ -132,10 +142,10 @@ class Engine:
         if not fits:
             return F.lit(c.op == "!=")
         if c.op == "==":
-            return F.coalesce(col == value, F.lit(False))
+            return col == value
         if c.op == "!=":
             return ~col.eqNullSafe(value)
-        return F.coalesce({"<": col < value, "<=": col <= value, ">": col > value, ">=": col >= value}[c.op], F.lit(False))
+        return {"<": col < value, "<=": col <= value, ">": col > value, ">=": col >= value}[c.op]
 
     def _sides(self, m: t.Match) -> tuple[bool, bool]:
         """Whether the vector and the text side of a search run. Temporal and epistemic clauses keep it to text."""
