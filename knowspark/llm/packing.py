@@ -9,13 +9,13 @@ shortest permitted length that holds its contents.
 
 Defined results: null and empty texts are pieces of no length that take no room; they go to any bin, or to one of the
 shortest length where there is no other. Repeated ids are separate documents, told apart by ``item``; an empty table
-gives an empty result; other columns are carried by :func:`sequences` only as far as they are asked for.
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +71,8 @@ def best_fit(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, cost=default_c
         need = int(sizes[i])
         found = room.take(need)
         if found is None:
-            # what is still to come fills a bin up, as far as it lasts; of that, only pieces that may yet fit count
-            best = min(
-                (cost(n) / min(n, max(left, need, 1)), n) for n in lengths if n >= need
-            )[1]
+            # what is still to come fills a bin up, as far as it lasts
+            best = min((cost(n) / min(n, max(left, need, 1)), n) for n in lengths if n >= need)[1]
             found = best, len(opened)
             opened.append(best)
             used.append(0)
