@@ -46,8 +46,9 @@ def text_bm25(df: DataFrame, text: Column, query: str, k: int, key: Column, keep
     norm = F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.size("_words") / F.col("_avg")))
     idf = [F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) for i in range(len(words))]
     score = sum((F.when(h, x * norm).otherwise(0.0) for h, x in zip(has, idf)), F.lit(0.0))
-    out = own.where(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in words])))
-    return top(out.select("koid", score.alias("score"), *[c for c in own.columns if c not in ("koid", "_words") and not c.startswith(("_n", "_avg", "_df"))]), k)
+    kept = [c for c in own.columns if c not in ("koid", "_words", "_n", "_avg") and not c.startswith("_df")]
+    # a shared word scores above 0; a filter before the ranking would be pushed down and split the text twice
+    return top(own.select("koid", score.alias("score"), *kept), k).where("score > 0")
 
 
 def token_index(df: DataFrame, text: Column, key: Column) -> DataFrame:
