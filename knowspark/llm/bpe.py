@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 PIECE = 2 << 20
 REMEMBERED = 400_000
+LONG = 1 << 15
 SAFE_CUT = re.compile(rb"[A-Za-z0-9.,] (?=[A-Za-z])")
 
 
@@ -185,17 +187,22 @@ class Encoder:
             out = self.pairs[key] = self.merged(raw) == ([left, right] if left >= 0 else [right])
         return out
 
+    def _matches(self, raw: bytes) -> list[list[tuple[int, int]]]:
+        """For each place the tokens that start there, as size and rank, shortest first."""
+        found: list[list[tuple[int, int]]] = [[] for _ in raw]
+        for end, (size, rank) in self.automaton.iter(raw.decode("latin-1")):
+            found[end + 1 - size].append((size, rank))
+        return found
+
     def piece(self, raw: bytes) -> tuple[int, ...]:
         if (rank := self.ranks.get(raw)) is not None:
             return (rank,)
         if (out := self.known.get(raw)) is not None:
             return out
         n = len(raw)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, rank) in self.automaton.iter(raw.decode("latin-1")):
-            found[end + 1 - size].append((size, rank))
+        found = self._matches(raw) if n <= LONG else Matches(self, raw)
         open_ = bytearray([1]) * (n + 1)
-        tried = [-1] * n
+        tried = array("b", b"\xff" * n)  # -1; fewer than 128 tokens start at one place
         at, path = 0, [(-1, 0)]
         while at < n:
             options = found[at]
@@ -243,6 +250,23 @@ class Encoder:
         return self.bytes[spread(self.firsts[ids], self.lengths[ids])].tobytes()
 
 
+class Matches:
+    """The matches of a long piece, found a stretch at a time; the encoder looks back only a little."""
+
+    def __init__(self, encoder: Encoder, raw: bytes) -> None:
+        self.encoder, self.raw = encoder, raw
+        self.overlap = int(encoder.lengths.max())
+        self.held: dict[int, list[list[tuple[int, int]]]] = {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        block, within = divmod(at, LONG)
+        if block not in self.held:
+            while len(self.held) > 3:
+                del self.held[next(iter(self.held))]
+            self.held[block] = self.encoder._matches(self.raw[block * LONG : (block + 1) * LONG + self.overlap])
+        return self.held[block][within]
+
+
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first .. first + size - 1 of each pair, one after another."""
     total = int(size.sum())

@@ -162,11 +162,11 @@ class CountTransducer:
         return out
 
     def _read(self, word: str, n: int, prefixes: list[tuple[str, int]], end: bool) -> tuple[str, int]:
-        """The last token and count of the first n characters, given those of all shorter prefixes."""
+        """The last token and count of the first n characters, given those of the shorter prefixes, the longest last."""
         for size in range(min(n, self.longest), 0, -1):
             token = word[n - size : n] + (self.END if end else "")
             if token in self.vocab:
-                left, count = prefixes[n - size]
+                left, count = prefixes[-size]
                 if self.accept(left, token):
                     return token, count + 1
         raise ValueError(f"the vocabulary does not cover {word!r}")
@@ -190,6 +190,8 @@ class CountTransducer:
             if compiling := compiling and len(self.states) < STATES:
                 self.states.append(prefixes[-1])
                 self.next[at, word[i - 1]] = at = len(self.states) - 1
+            if len(prefixes) > 4 * self.longest + 1000:  # no token reaches further back
+                del prefixes[: -self.longest - 1]
         out = self._read(word, n, prefixes, True)[1]
         if n <= 64:
             if len(self.known) > REMEMBERED:

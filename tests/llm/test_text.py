@@ -50,6 +50,15 @@ def test_bpe(spark, sf, reference, monkeypatch, piece):
         assert e.decode(ids[a:z]) == (t or "").encode()
 
 
+def test_one_long_word(reference):
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    for text in ("".join(r.choice("abcdexyz") for _ in range(100_000)), "ab" * 50_000, "é" * 40_000):
+        assert bpe.encoder(RANKS).encode(pa.array([text]))[0].tolist() == reference.encode_ordinary(text)
+        assert token_count.counter(WORDS).count([text])[0] == len(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids)
+
+
 def test_bpe_frames(spark, reference):
     df = spark.createDataFrame(list(enumerate(ODD)) + [(None, "x y"), (3, "x y")], "doc_id long, text string").withColumn("ids", F.lit(1))
     ids = bpe.encode(df, RANKS)
