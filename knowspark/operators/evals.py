@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
-
 
 def recall_at_k(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(query, expected, hits, recall) from expected (query, koid) and found (query, koid)."""
@@ -53,12 +55,67 @@ def staleness(df: DataFrame, age: str, p: float = 0.95) -> DataFrame:
     return total.join(F.broadcast(rank))  # one row
 
 
+CHUNK, STRIP = 8192, 256
+
+
 def contradictions(v: DataFrame, vector: Column, value: Column, block: Column, threshold: float, key: Column) -> DataFrame:
-    """(a, b, similarity): pairs of one block with similar vectors and different values, a < b.
+    """(a, b, similarity): all pairs of one block (the type) with similar vectors and different values, a < b.
 
-    Pairs meet only within a block (the type, and what else the caller adds), as an equi-join.
+    A block's vectors are dealt into chunks, and each two chunks meet in one task as matrix products, so a block may be
+    of any size and no pair is left out. Pairs near the threshold are computed again term by term, as ``cosine`` does.
     """
-    own = v.select(key.alias("k"), vector.alias("v"), value.alias("x"), block.alias("g"))
-    pairs = own.alias("a").join(own.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
-    pairs = pairs.where(~F.col("a.x").eqNullSafe(F.col("b.x"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), cosine(F.col("a.v"), F.col("b.v")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold)
+    whole = F.when(~F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: x.cast("double")))
+    own = v.select(key.alias("k"), whole.alias("v"), value.alias("x"), block.alias("g")).where("g is not null")
+    most = own.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    n = -(-most // CHUNK) or 1
+    chunk = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.struct(F.least(c, chunk).alias("i"), F.greatest(c, chunk).alias("j"), (chunk > c).alias("right")))
+    rows = own.withColumn("_m", F.explode(meets)).select("g", "_m.i", "_m.j", "_m.right", "k", "v", "x")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+
+    def run(rows: pa.Table) -> pa.Table:
+        right = rows.column("right").to_numpy()
+        sides = [np.flatnonzero(~right), np.flatnonzero(right)]
+        same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        vectors = [None if x is None else np.array(x) for x in rows.column("v").to_numpy()]
+        first, second = sides[0], sides[0] if same else sides[1]
+        lefts, rights, scores = [], [], []
+        for at in range(0, len(first), STRIP):
+            for a, b, s in _near(vectors, first[at : at + STRIP], second, threshold):
+                keep = a < b if same else slice(None)
+                lefts.append(a[keep])
+                rights.append(b[keep])
+                scores.append(s[keep])
+        a, b = (np.concatenate(x) if x else np.array([], int) for x in (lefts, rights))
+        one, two = rows.select(["k", "x"]).take(pa.array(a)), rows.select(["k", "x"]).take(pa.array(b))
+        return pa.table([one.column(0), two.column(0), one.column(1), two.column(1), pa.array(np.concatenate(scores) if scores else np.array([], float))], names=["ka", "kb", "xa", "xb", "similarity"])
+
+    pairs = rows.groupBy("g", "i", "j").applyInArrow(run, f"ka {kinds['k']}, kb {kinds['k']}, xa {kinds['x']}, xb {kinds['x']}, similarity double")
+    return pairs.where(~F.col("xa").eqNullSafe(F.col("xb")) & (F.col("ka") != F.col("kb"))).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+
+
+def _near(vectors: list, first: np.ndarray, second: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (of first, of second) with a cosine of at least the threshold, and the cosine; 0 between different lengths."""
+    by: list[dict[int, list[int]]] = [{}, {}]
+    for out, part in zip(by, (first, second)):
+        for i in part:
+            out.setdefault(0 if vectors[i] is None else len(vectors[i]), []).append(i)
+    for d, a in by[0].items():
+        for e, b in by[1].items():
+            a, b = np.array(a), np.array(b)
+            if d != e or not d:
+                x, y = (np.repeat(a, len(b)), np.tile(b, len(a))) if threshold <= 0 else (a[:0], b[:0])
+                yield x, y, np.zeros(len(x))
+                continue
+            m, n = np.stack([vectors[i] for i in a]), np.stack([vectors[i] for i in b])
+            sizes = [np.sqrt(np.add.accumulate(t * t, axis=1)[:, -1]) for t in (m, n)]
+            with np.errstate(all="ignore"):
+                rough = (m @ n.T) / np.outer(*sizes)
+                x, y = np.nonzero(~(rough < threshold - 1e-6))
+                for at in range(0, len(x), 1 << 16):
+                    i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                    size = sizes[0][i] * sizes[1][j]
+                    score = np.add.accumulate(m[i] * n[j], axis=1)[:, -1] / size
+                    score[size == 0] = 0.0
+                    good = ~(score < threshold)
+                    yield a[i[good]], b[j[good]], score[good]

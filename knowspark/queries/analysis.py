@@ -135,6 +135,14 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def contradictions_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of the type against each other; the SQL of ``contradictions`` compares only those of one label % 3."""
+    v = tb.vectors(spark, sf_dir)
+    out = evals.contradictions(v, F.col("ko.embedding"), F.col("label"), F.col("ko.type_name"), 0.4, F.col("ko.koid"))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 # Journal
 
 

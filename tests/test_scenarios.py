@@ -57,3 +57,18 @@ def test_evaluation(spark):
     assert {r["query"]: r.recall for r in evals.recall_at_k(want, got).collect()} == {"q1": 0.5, "q2": 0.0}
     ages = spark.createDataFrame([(x,) for x in (1, 2, 3, 4, 100)], "age long")
     assert tuple(evals.staleness(ages, "age", 0.95).first()) == (5, 22, 100, 4)
+
+
+def test_contradictions_of_a_type(spark, sf, duck, monkeypatch):
+    from compare import frame_rows, sql_rows
+
+    from knowspark import catalogue
+
+    monkeypatch.setattr(evals, "CHUNK", 60)  # many chunks
+    got = frame_rows(catalogue.QUERIES["contradictions_by_type"](spark, sf))
+    assert got == sql_rows(duck, catalogue.ORACLE["contradictions"].replace("x.g = y.g AND ", ""))
+    assert any(int(r[0][7:]) != int(r[1][7:]) for r in got[1])
+    rows = [("a", [1.0, 0.0], 1), ("b", [1.0, 0.0], 2), ("c", [1.0, 0.0], 2), ("d", [1.0], 3), ("e", None, 4), ("f", [0.0, 0.0], 5)]
+    v = spark.createDataFrame(rows, "k string, v array<float>, x int")
+    pairs = evals.contradictions(v, F.col("v"), F.col("x"), F.lit("T"), 0.5, F.col("k"))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [("a", "b"), ("a", "c")]
