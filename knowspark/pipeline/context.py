@@ -1,6 +1,7 @@
 """Context for a task: score units of knowledge against its words, then pack the best into a token budget.
 
-Scoring is columns over all units; packing is a sequence of decisions over what scored above zero, and runs per task.
+Scoring is columns over all units; packing is a sequence of decisions over what scored above zero and could still fit,
+and runs per task.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -50,10 +51,14 @@ def prepared(units: DataFrame) -> DataFrame:
 def score_units(units: DataFrame, words: Sequence[str]) -> DataFrame:
     """units (unit, kind, name, text, mentions) with a score: names count whole, mentions half, with a bonus for many."""
     own = units if "_injected" in units.columns else prepared(units)
+    return own.withColumn("score", _score(words)).drop("_name", "_mentions", "_text", "_injected")
+
+
+def _score(words: Sequence[str]) -> Column:
     bonus = 1 + F.least(0.1 * F.size(F.coalesce("mentions", F.array().cast("array<string>"))), F.lit(0.5))
     entity = (keyword_score(F.col("_name"), words) + 0.5 * keyword_score(F.col("_mentions"), words)) * bonus
     other = F.when(F.col("_injected"), 0.0).otherwise(keyword_score(F.col("_text"), words))
-    return own.withColumn("score", F.when(F.col("kind") == "entity", entity).otherwise(other)).drop("_name", "_mentions", "_text", "_injected")
+    return F.when(F.col("kind") == "entity", entity).otherwise(other)
 
 
 ORDER = {"entity": 0, "fact": 1, "relation": 2}
@@ -83,21 +88,47 @@ def pack(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
     return pd.concat(out) if out else rows.iloc[:0]
 
 
-def compile_context(units: DataFrame, tasks: DataFrame, budget: int = 300, candidates: int = 20_000) -> DataFrame:
+PARTS = 64
+
+
+def _top(rows: DataFrame, by: Sequence[str], holds: Column) -> DataFrame:
+    """The rows of each group whose number ``_n`` by score and text holds; found in parts first, so that no group is one task's."""
+    for part in ([F.pmod(F.xxhash64("unit"), F.lit(PARTS))], []):
+        order = Window.partitionBy(*by, *part).orderBy(F.col("score").desc(), "text")
+        rows = rows.withColumn("_n", F.row_number().over(order)).where(holds).drop("_n")
+    return rows
+
+
+def reduced(rows: DataFrame, budget: int) -> DataFrame:
+    """Of distinct scored rows (task, unit, kind, text, score, tokens) those that ``pack`` can still reach; it packs them the same.
+
+    Only an empty text needs no token, so entities and relations, which stop at what does not fit, end before
+    ``budget`` + 2. Facts are skipped, but where one does not fit, no later one of its size does: of a size, at most as
+    many as the budget holds are taken, and those are the first.
+    """
+    fact = F.col("kind") == "fact"
+    facts = _top(rows.where(fact & (F.col("tokens") <= budget)), ("task", "tokens"), F.col("_n") * F.greatest("tokens", F.lit(1)) <= max(budget, 1))
+    return _top(rows.where(~fact), ("task", "kind"), F.col("_n") <= budget + 2).unionByName(facts)
+
+
+def compile_context(units: DataFrame, tasks: DataFrame, budget: int = 300) -> DataFrame:
     """(task, unit, kind, text, score, tokens) for tasks (task, question).
 
-    Tasks are few and known to the caller, so each gets its own scored scan. Packing looks at the ``candidates`` best
-    units of a task; those are many more than a budget can hold.
+    Tasks are few and known to the caller, and all are scored in one scan. Of copies of a text within a kind the best
+    counts. Packing gets every unit that could still fit; without a budget nothing has to be packed.
     """
-    out, units = None, prepared(units)
-    for row in tasks.collect():  # one line for each question that was asked
-        words = task_words(row.question)
-        scored = score_units(units, words).withColumn("task", F.lit(row.task))
-        best = scored.orderBy(F.col("score").desc(), "unit").limit(candidates).where("score > 0")  # earlier, it would be pushed down and score twice
-        out = best if out is None else out.unionAll(best)
-    kinds = {f.name: f.dataType.simpleString() for f in out.schema}
+    asked = [F.struct(F.lit(r.task).alias("task"), _score(task_words(r.question)).alias("score")) for r in tasks.collect()]  # one for each question that was asked
+    scored = prepared(units).select("unit", "kind", "text", F.explode_outer(F.array(*asked)).alias("_s"))  # outer: else the optimiser scores twice
+    scored = scored.select("_s.task", "unit", "kind", "text", "_s.score").where("score > 0")
+    best = scored.groupBy("task", "kind", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), "unit")).alias("_b"))
+    rows = best.select("task", "_b.unit", "kind", "text", (-F.col("_b.s")).alias("score"), tx.token_estimate(F.col("text")).alias("tokens"))
+    if not budget:
+        most = F.max("score").over(Window.partitionBy("task", "kind"))
+        relations = rows.where("kind = 'relation'").withColumn("_most", most).where("score >= _most / 2").drop("_most")
+        return rows.where("kind <> 'relation'").unionByName(relations)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pack(pdf, budget)[["task", "unit", "kind", "text", "score", "tokens"]]
 
-    return out.groupBy("task").applyInPandas(run, f"task {kinds['task']}, unit {kinds['unit']}, kind string, text string, score double, tokens long")
+    return reduced(rows, budget).groupBy("task").applyInPandas(run, f"task {kinds['task']}, unit {kinds['unit']}, kind string, text string, score double, tokens long")

@@ -1,5 +1,6 @@
 """The store, streams, sources and the document pipeline on small files."""
 
+import random
 import sqlite3
 import zipfile
 
@@ -177,6 +178,26 @@ def test_context_packing():
     assert context.pack(rows.iloc[:0], 10).empty
 
 
+def test_context_without_a_cut(spark):
+    """As packing all units at once: many better facts, ties, copies and pieces of every size."""
+    r = random.Random(5)
+    size = lambda: "y" * r.choice([0, 1, 5, 9, 30, 200, 900])
+    rows = [(f"f{i:05}", "fact", "", f"steel market {i:05} {size()}", ["a"]) for i in range(21_000)]
+    rows += [(f"g{i:03}", "fact", "", f"steel {i % 80} {size()}", []) for i in range(300)]
+    rows += [(f"e{i:03}", "entity", f"steel {i % 3}", f"rod {i % 40} {size()}", ["x"] * (i % 3)) for i in range(60)]
+    rows += [(f"r{i:03}", "relation", "", f"{'steel ' * (i % 2)}market {i} {size()}", []) for i in range(300)]
+    units = spark.createDataFrame(rows, "unit string, kind string, name string, text string, mentions array<string>")
+    tasks = spark.createDataFrame([(1, "steel market"), (2, "rods of steel")], "task int, question string")
+    for budget in (0, 60, 900):
+        got = sorted((x.task, x.unit, x.score, x.tokens) for x in context.compile_context(units, tasks, budget).collect())
+        want = []
+        for task, question in ((1, "steel market"), (2, "rods of steel")):
+            scored = context.score_units(units, context.task_words(question)).where("score > 0").toPandas().sort_values(["score", "unit"], ascending=[False, True])
+            want += [(task, x.unit, x.score, x.tokens) for x in context.pack(scored, budget).itertuples()]
+        assert got == sorted(want), budget
+        assert {x[1][0] for x in got} >= {"e", "f"} if budget in (0, 900) else got
+
+
 def test_extraction(spark):
     d = spark.createDataFrame([(1, "Order Service uses Mail Gateway. nothing here. Released 2024-02-29 by Ann Lee."), (2, None)], "doc_id long, text string")
     assert [(r.subject, r.predicate, r.object) for r in extract.relations(d, "text", "doc_id").collect()] == [("Order Service", "uses", "Mail Gateway")]
