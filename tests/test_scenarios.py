@@ -72,3 +72,18 @@ def test_contradictions_of_a_type(spark, sf, duck, monkeypatch):
     v = spark.createDataFrame(rows, "k string, v array<float>, x int")
     pairs = evals.contradictions(v, F.col("v"), F.col("x"), F.lit("T"), 0.5, F.col("k"))
     assert sorted((r.a, r.b) for r in pairs.collect()) == [("a", "b"), ("a", "c")]
+
+
+def test_audit_chain_of_all_users(spark, sf):
+    import hashlib
+
+    from knowspark import catalogue
+    from knowspark.queries import tables
+
+    last, want = {}, set()
+    for r in sorted(tables.journal(spark, sf).collect(), key=lambda r: r.seq):
+        text = [last.get(r.koid, "0" * 64)] + ["-" if (x := getattr(r, n, None)) is None else str(x) for n in ("seq", "koid", "version", "kind", "ts", "payload_hash", "signature", "actor", "note")]
+        last[r.koid] = hashlib.sha256("|".join(text).encode()).hexdigest()
+        want.add((r.koid, r.seq, last[r.koid]))
+    rows = catalogue.QUERIES["audit_chain_whole"](spark, sf).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) == spark.read.parquet(f"{sf}/events.parquet").count()
