@@ -204,7 +204,16 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lang AS document, n AS "key", min(name) AS name, min(hint) AS type_hint, list_sort(list(DISTINCT doc_id::VARCHAR)) AS mentions, least(count(*) * 0.125, 1.0)::DOUBLE AS confidence
           FROM (SELECT doc_id, lang, upper(source) AS name, lower(source) AS n, 'Source' AS hint FROM documents WHERE n_chars < 300) GROUP BY lang, n""".replace("list_sort(list(DISTINCT doc_id::VARCHAR)) AS mentions", "array_to_string(list_sort(list(DISTINCT doc_id::VARCHAR)), ',') AS mentions"))
 def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tb.table(spark, sf_dir, "documents").where("n_chars < 300")
+    return _merged_sources(tb.table(spark, sf_dir, "documents").where("n_chars < 300"))
+
+
+@query()
+def merge_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of all documents; the SQL of ``merge_entities`` covers the short ones."""
+    return _merged_sources(tb.table(spark, sf_dir, "documents"))
+
+
+def _merged_sources(d: DataFrame) -> DataFrame:
     e = d.select(F.col("lang").alias("document"), F.upper("source").alias("name"), F.lit("Source").alias("type_hint"), F.array(F.col("doc_id").cast("string")).alias("mentions"), F.lit(0.125).alias("confidence"))
     return resolution.merge_entities(e).withColumn("mentions", F.concat_ws(",", "mentions"))
 
@@ -250,9 +259,18 @@ def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT vec_id AS mention, CASE WHEN s >= 0.2 THEN c END AS candidate, round(coalesce(s, 0), 6) AS score, CASE WHEN s IS NULL OR s < 0.2 THEN 'unmatched' WHEN coalesce(s - t < 0.05, FALSE) THEN 'ambiguous' ELSE 'matched' END AS verdict
           FROM v LEFT JOIN b ON vec_id = mention WHERE vec_id >= 250""")
 def resolve_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tb.table(spark, sf_dir, "embeddings")
-    mentions = e.where("vec_id >= 250").select(F.col("vec_id").alias("mention"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
-    known = e.where("vec_id < 250").select(F.col("vec_id").alias("koid"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
+    return _resolved_vectors(tb.table(spark, sf_dir, "embeddings"), "vec_id < 250")
+
+
+@query()
+def resolve_vectors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One half of the vectors against the other, at every size; the SQL of ``resolve_vectors`` knows the first 250."""
+    return _resolved_vectors(tb.table(spark, sf_dir, "embeddings"), "vec_id % 2 = 0")
+
+
+def _resolved_vectors(e: DataFrame, stored: str) -> DataFrame:
+    mentions = e.where(f"NOT ({stored})").select(F.col("vec_id").alias("mention"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
+    known = e.where(stored).select(F.col("vec_id").alias("koid"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
     return resolution.resolve_vectors(mentions, known, 0.2, 0.05).withColumn("score", F.round("score", 6))
 
 
@@ -547,3 +565,11 @@ def epistemic_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = tb.table(spark, sf_dir, "orders").where("o_orderkey < 100").select(tb.ref("order", "o_orderkey").alias("koid"))
     heads = opened(tb.orders(spark, sf_dir)).where("epistemic_status = 'verified'")
     return mutate.transition(heads, few, "contradicted", NOW)[0].select("koid", "epistemic_status")
+
+
+@query()
+def epistemic_transition_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders; the SQL of ``epistemic_transition`` covers the first hundred numbers."""
+    every = tb.table(spark, sf_dir, "orders").select(tb.ref("order", "o_orderkey").alias("koid"))
+    heads = opened(tb.orders(spark, sf_dir)).where("epistemic_status = 'verified'")
+    return mutate.transition(heads, every, "contradicted", NOW)[0].select("koid", "epistemic_status")

@@ -295,6 +295,12 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(own)
 
 
+@query()
+def closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all edges; the SQL of ``closure`` leaves out those of orders and customers."""
+    return graph.closure(tb.edges(spark, sf_dir))
+
+
 @query(
     f"""WITH {EDGES_SQL}, s AS (SELECT src AS a, rel_type, dst AS b FROM edges WHERE src LIKE 'nation%' UNION ALL SELECT dst, rel_type, src FROM edges WHERE src LIKE 'nation%'),
         p1 AS (SELECT [a, b] AS path, [rel_type] AS relations FROM s WHERE a = 'nation/3'),
