@@ -10,7 +10,8 @@ Each page is handled by itself, so partitions need nothing from each other.
 
 Defined results: null or empty html, and pages without text, give an empty string; unclosed, misnested and stray tags are
 repaired as browsers do for paragraphs and list items; an unclosed comment or script runs to the end; ``br`` is white
-space; elements nested deeper than 512 levels lie flat at that level; ids and urls may be null or repeated; an empty table gives an empty result; other columns are ignored.
+space; elements may be nested to any depth; ids and urls may be null or repeated; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,15 +55,41 @@ MARKS = frozenset(
 #: Of these, names that layouts also give to what surrounds the article.
 SURROUND = frozenset("sidebar sidenav nav menu header banner share sharing social related widget widgets search notice modal overlay popup hidden skip toc".split())
 WHOLE = frozenset("article main".split())
-DEEPEST = 512
+#: By name, the rules of what an opening tag closes that an open element ends (true) or shields from (false).
+RULES = {"p": ({"p"}, KEEPS_P), **CLOSES}
+EFFECT: dict[str, list[tuple[str, bool]]] = {}
+for _rule, (_ends, _scope) in RULES.items():
+    for _name in _ends | _scope:
+        EFFECT.setdefault(_name, []).append((_rule, _name in _ends))
 HARD, SOFT, MAYBE = 1, 2, 3
 
 
+class Node:
+    """An element, with what its descendants need of it and its ancestors: no block looks at the whole stack."""
+
+    __slots__ = ("parent", "name", "number", "depth", "end", "path", "hard", "header", "heading", "whole", "outer", "mark", "near")
+
+    def __init__(self, parent, name, bad, number, path):
+        self.parent, self.name, self.number, self.path, self.end = parent, name, number, path, math.inf
+        self.depth = parent.depth + 1 if parent else 0
+        self.hard = bad == HARD or parent is not None and parent.hard
+        self.header = name == "header" or parent is not None and parent.header
+        self.heading = name in HEADINGS or parent is not None and parent.heading
+        self.whole = number if name in WHOLE else parent.whole if parent else 0  # the innermost article or main
+        self.outer = (parent.outer or self.whole) if parent else 0  # the outermost
+        self.mark = (number, bad, parent.mark) if bad > HARD else parent.mark if parent else None
+        self.near = parent.near if parent else {}  # by rule, the place on the stack of what it closes
+        if name in EFFECT:
+            self.near = dict(self.near)
+            for rule, ends in EFFECT[name]:
+                self.near[rule] = self.depth - 1 if ends else None
+
+
 class Block:
-    __slots__ = ("path", "trail", "text", "linked", "bad", "marks")
+    __slots__ = ("node", "text", "linked", "bad")
 
-    def __init__(self, path, trail, text, linked, bad, marks):
-        self.path, self.trail, self.text, self.linked, self.bad, self.marks = path, trail, text, linked, bad, marks
+    def __init__(self, node, text, linked, bad):
+        self.node, self.text, self.linked, self.bad = node, text, linked, bad
 
 
 def _marked(name: str, attrs: str) -> tuple[str, int]:
@@ -86,7 +113,10 @@ def _marked(name: str, attrs: str) -> tuple[str, int]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; white space within each is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, int]] = []  # name, path name, mark, number
+    top = Node(None, "", 0, 0, 0)
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}  # by name, where on the stack
+    paths: dict[tuple[int, str], int] = {}
     held: list[tuple[str, bool]] = []
     links = at = number = 0
 
@@ -96,18 +126,17 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(t for t, _ in held)
             text = " ".join(html.unescape(raw).split()) if raw and not raw.isspace() else ""
             if text:
-                names = [s[0] for s in stack]
-                inner = any(n in WHOLE for n in names)
-                heading = any(n in HEADINGS for n in names)
-                bad = any(b == HARD for _, _, b, _ in stack) or "header" in names and not (inner and heading)
-                linked = sum(len(t.strip()) for t, a in held if a)
-                marks = [(s[3], s[2]) for s in stack if s[2] > HARD]
-                out.append(Block("/".join(s[1] for s in stack), tuple((s[0], s[3]) for s in stack), text, linked, bad, marks))
+                node = stack[-1] if stack else top
+                bad = node.hard or node.header and not (node.whole and node.heading)
+                out.append(Block(node, text, sum(len(t.strip()) for t, a in held if a), bad))
             held = []
 
     def pop_to(i: int) -> None:
         flush()
-        del stack[i:]
+        while len(stack) > i:
+            node = stack.pop()
+            node.end = number
+            places[node.name].pop()
 
     size = len(page)
     while at < size:
@@ -136,39 +165,24 @@ def blocks(page: str) -> list[Block]:
                 flush()
         elif name in BLOCK or "-" in name:
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        pop_to(i)
-                        break
+                if places.get(name):
+                    pop_to(places[name][-1])
                 else:
                     flush()
                 links = 0 if name in ("nav", "li", "article", "div") else links
             else:
                 flush()
-                if name in CLOSES:
-                    ends, scope = CLOSES[name]
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in ends:
-                            pop_to(i)
-                            break
-                        if stack[i][0] in scope:
-                            break
-                elif name not in ("html", "body", "head"):
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == "p":
-                            pop_to(i)
-                            break
-                        if stack[i][0] in KEEPS_P:
-                            break
+                if name in CLOSES or name not in ("html", "body", "head"):
+                    near = stack[-1].near.get(name if name in CLOSES else "p") if stack else None
+                    if near is not None:
+                        pop_to(near)
                 label, bad = _marked(name, attrs)
-                if name == "body":
-                    for i, s in enumerate(stack):
-                        if s[0] == "head":
-                            pop_to(i)
-                            break
+                if name == "body" and places.get("head"):
+                    pop_to(places["head"][0])
                 number += 1
-                if len(stack) < DEEPEST:
-                    stack.append((name, label, bad, number))
+                parent = stack[-1] if stack else top
+                places.setdefault(name, []).append(len(stack))
+                stack.append(Node(parent, name, bad, number, paths.setdefault((parent.path, label), len(paths) + 1)))
         elif attrs and not closing and _marked(name, attrs)[1]:  # an inline element that names itself boilerplate
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else at
@@ -178,35 +192,47 @@ def blocks(page: str) -> list[Block]:
 
 def _settle(found: list[Block]) -> list[Block]:
     """Marks by class count unless the element surrounds the article: holds one, or, where the name may mean that, most text."""
+    marks: dict[int, tuple] = {}
     inside: dict[int, int] = {}
-    holds: set[int] = set()
+    deepest: dict[int, int] = {}  # the last article that one of its blocks lies in
     for b in found:
-        for number, _ in b.marks:
-            inside[number] = inside.get(number, 0) + len(b.text)
-            if any(n in WHOLE and i > number for n, i in b.trail):
-                holds.add(number)
+        if m := b.node.mark:
+            inside[m[0]] = inside.get(m[0], 0) + len(b.text)
+            deepest[m[0]] = max(deepest.get(m[0], 0), b.node.whole)
+            while m and m[0] not in marks:
+                marks[m[0]] = m
+                m = m[2]
+    order = sorted(marks)
+    for n in reversed(order):  # from inner to outer
+        if up := marks[n][2]:
+            inside[up[0]] = inside.get(up[0], 0) + inside[n]
+            deepest[up[0]] = max(deepest.get(up[0], 0), deepest[n])
     total = sum(len(b.text) for b in found)
+    off: dict[int, bool] = {}
+    for n in order:
+        _, mark, up = marks[n]
+        off[n] = bool(up and off[up[0]]) or deepest[n] <= n and not (mark == MAYBE and 2 * inside[n] > total)
     for b in found:
-        b.bad = b.bad or any(number not in holds and not (mark == MAYBE and 2 * inside[number] > total) for number, mark in b.marks)
+        b.bad = b.bad or b.node.mark is not None and off[b.node.mark[0]]
     return found
 
 
 def path_scores(found: list[Block]) -> list[float]:
     """The fused, smoothed tag-path ratio of each block."""
-    total: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for b in found:
-        t = total.setdefault(b.path, [0, 0.0, 0.0])
+        t = total.setdefault(b.node.path, [0, 0.0, 0.0])
         t[0] += 1
         t[1] += len(b.text) * (1 - min(1.0, b.linked / max(1, len(b.text))))
         t[2] += len(PUNCTUATION.findall(b.text))
-    ratio = [(t[1] / t[0], t[2] / t[0]) for t in (total[b.path] for b in found)]
+    ratio = [(t[1] / t[0], t[2] / t[0]) for t in (total[b.node.path] for b in found)]
     kernel = [math.exp(-(d * d) / 2) for d in (-1, 0, 1)]
     out = []
     for i in range(len(found)):
         near = [(kernel[d + 1], ratio[i + d]) for d in (-1, 0, 1) if 0 <= i + d < len(found)]
         w = sum(k for k, _ in near)
         length, marks = (sum(k * r[j] for k, r in near) / w for j in (0, 1))
-        weight = 0.0 if found[i].bad else 1.0 + any(n in WHOLE for n, _ in found[i].trail)
+        weight = 0.0 if found[i].bad else 1.0 + (found[i].node.whole > 0)
         out.append(weight * math.sqrt(length * (marks + 0.25)))
     return out
 
@@ -219,24 +245,25 @@ def main_text(page: str | None) -> str:
     scores = path_scores(found)
     mean = sum(scores) / len(scores)
     limit = min(math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)), 0.5 * max(scores))
-    by_path: dict[str, float] = {}
+    by_path: dict[int, float] = {}
     for b, s in zip(found, scores):
-        by_path[b.path] = max(by_path.get(b.path, 0.0), s)
-    chosen = [b for b in found if not b.bad and by_path[b.path] > 0 and by_path[b.path] >= limit]
+        by_path[b.node.path] = max(by_path.get(b.node.path, 0.0), s)
+    chosen = [b for b in found if not b.bad and by_path[b.node.path] > 0 and by_path[b.node.path] >= limit]
     if not chosen:
         return ""
-    wholes = {e for b in found for e in b.trail if e[0] in WHOLE and not b.bad}
-    if wholes:
-        best = [e for e in wholes if any(e in b.trail for b in chosen)]
-        keep = [b for b in found if not b.bad and any(e in b.trail for e in best)]
-    else:
-        root = chosen[0].trail[:-1]
-        for b in chosen[1:]:
-            n = 0
-            while n < min(len(root), len(b.trail)) and root[n] == b.trail[n]:
-                n += 1
-            root = root[:n]
-        keep = [b for b in found if not b.bad and b.trail[: len(root)] == root]
+    if any(b.node.outer and not b.bad for b in found):
+        best = {b.node.outer for b in chosen} - {0}
+        keep = [b for b in found if not b.bad and b.node.outer in best]
+    else:  # numbers grow as elements open, so the first and the last meet where all do
+        nodes = sorted((b.node for b in chosen[1:]), key=lambda n: n.number)
+        root = chosen[0].node.parent or chosen[0].node
+        for other in nodes[:1] + nodes[-1:]:
+            while root is not other:
+                if root.depth >= other.depth:
+                    root = root.parent
+                else:
+                    other = other.parent
+        keep = [b for b in found if not b.bad and root.number <= b.node.number <= root.end]
     return "\n".join(b.text for b in keep)
 
 

@@ -150,6 +150,17 @@ def test_deep_and_long_page():
     assert len(html_text.main_text(page).split("\n")) == 30_001
 
 
+def test_surplus_and_lost_depth():
+    body = "<p>Long text, with many words; and more of them, so that it counts.</p>"
+    want = "Long text, with many words; and more of them, so that it counts."
+    page = f"<div id=wrap><article>{body}{'<div>' * 600}deep text, here{'</div>' * 600}<p>rest</p></article></div>"
+    assert html_text.main_text(page) == f"{want}\ndeep text, here\nrest"
+    menu = "<nav><p>Menu, with words. And more.</p></nav><div class=comments><p>Great, really great.</p></div>"
+    assert html_text.main_text("<div>" * 600 + menu + body) == want
+    many = "<div class=comments>" * 20_000 + "</ul><li>x" * 20_000 + "</div>" * 20_000 + body  # work does not grow with depth times blocks
+    assert html_text.main_text(many) == want
+
+
 def test_html_query(spark, sf):
     import html
     import re
