@@ -29,6 +29,23 @@ def name_blocks(name: Column) -> Column:
     return F.array_distinct(F.concat(tx.tokens(n), F.array(F.concat(F.lit("^"), F.substring(n, 1, 4)))))
 
 
+GRAMS = (1, 2, 4, 8)
+
+
+def _start(n: Column) -> Column:
+    """The longest start of a name that ``_pieces`` of a name around it holds."""
+    size = F.lit(GRAMS[0])
+    for g in GRAMS[1:]:
+        size = F.when(F.length(n) >= g, g).otherwise(size)
+    return F.substring(n, F.lit(1), size)
+
+
+def _pieces(n: Column) -> Column:
+    """All pieces of a name of the lengths in GRAMS."""
+    at = lambda g: F.transform(F.sequence(F.lit(1), F.length(n) - (g - 1)), lambda i: F.substring(n, i, F.lit(g)))
+    return F.array_distinct(F.concat(*[F.when(F.length(n) >= g, at(g)).otherwise(F.array().cast("array<string>")) for g in GRAMS]))
+
+
 def _decide(scored: DataFrame, least: float, gap: float, key: str) -> DataFrame:
     """Best candidate per key, with the verdict: matched, ambiguous (the second is near), unmatched."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), "candidate")
@@ -42,16 +59,26 @@ def _decide(scored: DataFrame, least: float, gap: float, key: str) -> DataFrame:
 def resolve_names(mentions: DataFrame, known: DataFrame, least: float = NAME_LEAST, gap: float = NAME_GAP) -> DataFrame:
     """(mention, candidate, score, verdict) of mentions (mention, name, type_hint) against known (koid, name, type_hint).
 
-    Names meet on shared words or a shared start, which every name similarity of at least 0.5 has but containment
-    within one word.
+    Names meet on shared words or a shared start, and where one lies within the other, also inside a word: every pair
+    with a name similarity above 0.
     """
     m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), F.explode(name_blocks(F.col("name"))).alias("b"))
     k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), F.explode(name_blocks(F.col("name"))).alias("b"))
-    pairs = m.join(k, "b").where(compatible(F.col("mt"), F.col("kt"))).select("mention", "candidate", "mn", "kn").distinct()
+    pairs = m.join(k, "b").unionByName(_inside(mentions, known)).where(compatible(F.col("mt"), F.col("kt"))).select("mention", "candidate", "mn", "kn").distinct()
     scored = pairs.select("mention", "candidate", tx.name_similarity(F.col("mn"), F.col("kn")).alias("score"))
     return _decide(mentions.select("mention").join(scored, "mention", "left"), least, gap, "mention")
 
 
+def _inside(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (b, mention, mn, mt, candidate, kn, kt) of which one normalised name contains the other."""
+    m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), tx.normalize_name(F.col("name")).alias("x")).where("x <> ''")
+    k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), tx.normalize_name(F.col("name")).alias("y")).where("y <> ''")
+    x, y = F.col("x"), F.col("y")
+    around = m.withColumn("b", F.explode(_pieces(x))).join(k.withColumn("b", _start(y)), "b").where(x.contains(y))
+    within = m.withColumn("b", _start(x)).join(k.withColumn("b", F.explode(_pieces(y))), "b").where(y.contains(x))
+    return around.unionByName(within).drop("x", "y")
+
+
 def resolve_vectors(mentions: DataFrame, known: DataFrame, least: float = VECTOR_LEAST, gap: float = VECTOR_GAP) -> DataFrame:
     """The same by cosine of (mention, block, vector) and (koid, block, vector) within blocks; a zero vector is unmatched."""
     k = known.select(F.col("koid").alias("candidate"), "block", F.col("vector").alias("kv"))

@@ -25,6 +25,22 @@ def ids(df):
     return sorted(r.koid for r in df.collect())
 
 
+def test_names_within_a_word(spark):
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 11)))
+    names = ["mailgateway", "x"] + [word() for _ in range(60)], ["gateway", "mailgatewayservices"] + [word() for _ in range(40)]
+    m = spark.createDataFrame([(i, n, None) for i, n in enumerate(names[0])], "mention int, name string, type_hint string")
+    k = spark.createDataFrame([(f"{i:02}", n, None) for i, n in enumerate(names[1])], "koid string, name string, type_hint string")
+    got = {r.mention: (r.candidate, round(r.score, 9), r.verdict) for r in resolution.resolve_names(m, k).collect()}
+    every = m.select("mention", F.col("name").alias("a")).crossJoin(k.select("koid", F.col("name").alias("b"))).select("mention", "koid", tx.name_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for i in range(len(names[0])):
+        (s, c), (t, _) = sorted(((p.s, p.koid) for p in every if p.mention == i), key=lambda p: (-p[0], p[1]))[:2]
+        assert got[i] == ((c if s >= 0.5 else None), round(s, 9), "unmatched" if s < 0.5 else "ambiguous" if s - t < 0.15 else "matched"), names[0][i]
+    assert got[0][2] == "ambiguous" and got[1] == (None, 0.0, "unmatched")
+
+
 @pytest.mark.parametrize(
     ("where", "want"),
     [
