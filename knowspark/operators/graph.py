@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-LAZY = 3
+LAZY, RENEW = 3, 16
 
 
 def oriented(edges: DataFrame, direction: str = "out", relation: str | None = None) -> DataFrame:
@@ -19,13 +21,13 @@ def oriented(edges: DataFrame, direction: str = "out", relation: str | None = No
     return {"out": out, "in": back, "both": out.unionAll(back)}[direction]
 
 
-def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", relation: str | None = None, alive: DataFrame | None = None) -> DataFrame:
-    """(koid, rel_type, depth): what ``starts`` (koid) reach in at most ``depth`` steps, at the least depth.
+def traverse(edges: DataFrame, starts: DataFrame, depth: int | None, direction: str = "out", relation: str | None = None, alive: DataFrame | None = None) -> DataFrame:
+    """(koid, rel_type, depth): what ``starts`` (koid) reach in at most ``depth`` steps, or in any number, at the least depth.
 
     All starts expand; of several last steps at one depth the least relation is given. ``alive`` (koid) limits what may
     be reached. A few levels stay one lazy plan; deeper walks cut the lineage at each level and stop when nothing is new.
     """
-    if depth <= 0:
+    if depth is not None and depth <= 0:
         return starts.select("koid", F.lit(None).cast("string").alias("rel_type"), F.lit(0).alias("depth")).where("false")
     steps = oriented(edges, direction, relation)
     if alive is not None:
@@ -33,24 +35,26 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "
     seen = starts.select("koid").distinct()
     frontier = seen
     found = None
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         nxt = frontier.join(steps, F.col("koid") == F.col("a")).groupBy(F.col("b").alias("koid")).agg(F.min("rel_type").alias("rel_type"))
         nxt = nxt.join(seen, "koid", "left_anti").withColumn("depth", F.lit(level))
-        if depth > LAZY:
+        if depth is None or depth > LAZY:
             nxt = cut(nxt)
             if nxt.isEmpty():
                 break
         found = nxt if found is None else found.unionAll(nxt)
         frontier = nxt.select("koid")
         seen = seen.unionAll(frontier)
+        if level % RENEW == 0:  # else the plan grows with the depth
+            seen, found = cut(seen), cut(found)
     return found if found is not None else nxt
 
 
-def closure(edges: DataFrame, child: str = "src", parent: str = "dst", most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, child: str = "src", parent: str = "dst") -> DataFrame:
     """(src, dst, depth): the transitive closure of a small hierarchy, each pair at its least depth."""
     base = edges.select(F.col(child).alias("src"), F.col(parent).alias("dst")).distinct()
     out, level, frontier = base.withColumn("depth", F.lit(1)), 1, base
-    while level < most:
+    while True:
         level += 1
         nxt = frontier.alias("f").join(base.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").distinct()
         frontier = cut(nxt.join(out, ["src", "dst"], "left_anti"))

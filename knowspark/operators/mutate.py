@@ -119,10 +119,10 @@ def verify(heads: DataFrame, koid: str, verifier: str, artifacts: Sequence[str],
     return versioned(own, at, confidence=confidence, epistemic_status=F.lit("verified"), evidence=F.array_distinct(F.concat(F.coalesce("evidence", F.array().cast(SYSTEM["evidence"])), evidence.cast(SYSTEM["evidence"]))))
 
 
-def dependents(edges: DataFrame, koid: str, spark, depth: int = 32) -> DataFrame:
+def dependents(edges: DataFrame, koid: str, spark) -> DataFrame:
     """(koid): what was derived from the object, at any distance. Edges run from the derived to its source."""
     start = spark.createDataFrame([(koid,)], "koid string")
-    return traverse(edges, start, depth, "in", "DERIVED_FROM").select("koid")
+    return traverse(edges, start, None, "in", "DERIVED_FROM").select("koid")
 
 
 def invalidate(heads: DataFrame, edges: DataFrame, koid: str, actor: str, reason: str, at: int) -> DataFrame:

@@ -450,6 +450,15 @@ def invalidate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.invalidate(heads, e, "order/4", "auditor", "recall", 850_000_000_000).select("koid", "version", "epistemic_status", "valid_to").where(F.col("koid").isin(*[f"order/{n}" for n in (4, 8, 16, 32, 64)]))
 
 
+@query()
+def invalidate_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that was derived from an order, over the edges of all orders; the SQL of ``invalidate_sweep`` ends at 64."""
+    heads = opened(tb.orders(spark, sf_dir)).where("epistemic_status is not null")
+    o = tb.table(spark, sf_dir, "orders").where("o_orderkey > 0 and o_orderkey % 2 = 0")
+    e = o.select(tb.ref("order", "o_orderkey").alias("src"), F.lit("DERIVED_FROM").alias("rel_type"), tb.ref("order", (F.col("o_orderkey") / 2).cast("long")).alias("dst"))
+    return mutate.invalidate(heads, e, "order/4", "auditor", "recall", 850_000_000_000).select("koid", "version", "epistemic_status", "valid_to")
+
+
 @query("SELECT 'part/' || p_partkey AS koid, p_brand AS maker, 'kg' AS unit FROM part WHERE p_brand IS NOT NULL")
 def migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mutate.migrate(opened(tb.parts(spark, sf_dir)), "Part", {"p_brand": "maker"}, {"unit": "kg"}, NOW)

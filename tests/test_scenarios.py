@@ -31,6 +31,22 @@ def test_dependency_chain(spark):
     assert {r.koid: r.depth for r in graph.impact(e, start).collect()} == {n: 5 - i for i, n in enumerate(names[:-1])}
 
 
+def test_long_chains(spark, sf):
+    from knowspark import catalogue
+    from knowspark.operators import mutate
+
+    e = spark.createDataFrame([(f"n{i + 1}", "DERIVED_FROM", f"n{i}") for i in range(36)] + [("n0", "DERIVED_FROM", "n36")], "src string, rel_type string, dst string")
+    assert sorted(r.koid for r in mutate.dependents(e, "n0", spark).collect()) == sorted(f"n{i}" for i in range(1, 37))
+    line = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(67)], "src string, dst string")
+    assert {(r.src, r.dst): r.depth for r in graph.closure(line).collect()} == {(f"r{i}", f"r{j}"): j - i for i in range(67) for j in range(i + 1, 68)}
+    got = {r.koid for r in catalogue.QUERIES["invalidate_sweep_whole"](spark, sf).collect()}
+    have = {f"order/{r.o_orderkey}": r.o_orderstatus for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    want, n = {"order/4"}, 8
+    while f"order/{n}" in have:
+        want, n = want | {f"order/{n}"}, 2 * n
+    assert n > 128 and got == {k for k in want if have[k] != "P"}
+
+
 def test_two_independent_sources(spark):
     kind = "k string, customer string, sources array<string>, st string"
     rows = [("1", "A", ["x", "y"], None), ("2", "B", ["x"], None), ("3", "C", ["x", "x"], None), ("4", "D", ["x", "y"], "superseded"), ("5", "E", ["z"], "contradicted")]
