@@ -30,7 +30,7 @@ def entities(found: DataFrame) -> DataFrame:
     """(document, name, type_hint, mentions, confidence) of facts."""
     rows = found.select("document", F.explode("entities").alias("name"), "statement")
     hint = F.when(F.col("name").rlike(r"(?i)service|system|engine"), "System").when(F.col("name").rlike(r"(?i)inc|corp|gmbh|ltd|company"), "Organization").otherwise("Concept")
-    return rows.groupBy("document", "name").agg(F.first(hint).alias("type_hint"), F.slice(F.array_sort(F.collect_set("statement")), 1, 8).alias("mentions"), F.lit(0.7).alias("confidence"))
+    return rows.groupBy("document", "name").agg(F.first(hint).alias("type_hint"), F.array_sort(F.collect_set("statement")).alias("mentions"), F.lit(0.7).alias("confidence"))
 
 
 def relations(df: DataFrame, text_col: str, key: str) -> DataFrame:

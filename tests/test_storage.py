@@ -206,6 +206,14 @@ def test_extraction(spark):
     assert {x for f in facts for x in f.entities} >= {"Order Service", "Mail Gateway", "Ann Lee"}
 
 
+def test_all_mentions(spark):
+    text = " ".join(f"Then Mail Gateway sent item {i:02}." for i in range(30))
+    facts = extract.facts(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", "doc_id")
+    got = {r.name: r.mentions for r in extract.entities(facts).collect()}
+    assert max(len(m) for m in got.values()) == 30
+    assert all(m == sorted(m) for m in got.values())
+
+
 def test_incremental_compile(spark):
     old = spark.createDataFrame([(1, "same"), (2, "before"), (3, "gone")], "doc_id long, text string")
     new = spark.createDataFrame([(1, "same"), (2, "after"), (4, "mail me at a@b.org")], "doc_id long, text string")
