@@ -1,15 +1,18 @@
 """Near-duplicate detection by DartMinHash signatures, banding, and exact checks.
 
-A document is the set of its shingles of ``SHINGLE`` words (or their weighted multiset). Darts are thrown, by hashes,
-into the region that each element's weight spans: they arrive in the order of their rank as a Poisson process per unit
-of weight, so two documents see the same darts wherever their weights overlap. The darts below a rank that leaves about
+A document is the weighted set of its shingles of ``SHINGLE`` words, each with the number of times that it occurs, and two
+documents are similar by their weighted Jaccard similarity: the sum of the lesser counts over the sum of the greater ones
+(the plain similarity where no shingle repeats). Darts are thrown, by hashes, into the region that each shingle's weight
+spans: they arrive in the order of their rank as a Poisson process per unit of weight, so two documents see the same
+darts wherever their weights overlap. The darts below a rank that leaves about
 k (ln k + 2) of them per document are dealt to k coordinates, and each coordinate keeps its earliest. Two documents
 agree in a coordinate with the probability of their weighted Jaccard similarity, at a cost of the elements plus k log k.
 
 Documents that agree in a whole band of ROWS coordinates share a bucket; a pair at 0.8 shares none of the BANDS bands
 with probability 3e-6. Links are then settled exactly, from the texts:
 
-* equal shingle sets are one vertex from the start, so copies are not compared at all;
+* for the checks the k-th time of a shingle is an element of its own, which makes the weighted similarity a plain one;
+* equal sets (128 bits, from two families of word hashes) are one vertex from the start, so copies are not compared;
 * of every vertex in a bucket with others, the shingles that any other such vertex has are counted. Only these can be
   shared, so a vertex with too few of them is done, and a pair's counts bound its similarity;
 * each bucket's vertices are compared with the one that has the largest part of shared shingles, a number of pairs
@@ -19,12 +22,14 @@ with probability 3e-6. Links are then settled exactly, from the texts:
   shingles that one or the other lacks are in no intersection. So no link between buckets' members goes unseen, and none
   within a label needs to be seen.
 
-A vertex that many are compared with is dealt out by a salt, and its text is read once for each salt.
+A vertex that many are compared with is dealt out by a salt, and its text is read once for each salt. Shared shingles
+are counted by blocks of texts as in :mod:`.substring_dedup`, in partitions that grow with the input.
 
 Defined results: a text of 1 to 4 words has one shingle, all its words; a null or empty text has none, is its own class
 and stays; rows that repeat an id are one document (its texts' classes are joined); a row with a null id takes the class
-of an equal text that has an id, else none, and stays; an empty table gives an empty result; other columns are ignored
-(:func:`near_dedup` carries them).
+of an equal text that has an id, else none, and stays; a text of any length is read whole, with working memory of some
+fifty bytes a word; ids are whole numbers, or text that reads as one; an empty table gives an empty result; other columns
+are ignored (:func:`near_dedup` carries them).
 """
 
 from __future__ import annotations
@@ -36,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, input_bytes, release, slices
+from .common import cut, fresh, release, slices
 from .components import connected_components
-from .substring_dedup import BLOCK_BYTES, HASHES, answer_repeats, no_rows, pack_array, ranges
-from .words import join, mix, shingles, word_hashes
+from .substring_dedup import answer_repeats, dealt_blocks, hash_rows, layout
+from .words import elements, grams, join, mix, shingles, short_gram, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
 PERCENT = 80
@@ -106,28 +111,45 @@ def dart_minhash(row: np.ndarray, element: np.ndarray, rows: int, k: int, weight
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    parts = signature.reshape(len(signature), bands, -1)
+    parts = signature.reshape(len(signature), bands, signature.shape[1] // bands)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
     for j in range(parts.shape[2]):
         key = join(key, parts[:, :, j])
     return key.astype(np.int64)
 
 
+def text_elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and elements of the multisets of all texts' shingles, sorted."""
+    hashes, _, _, counts = word_hashes(texts)
+    return elements(*shingles(hashes, counts, SHINGLE)[:3])
+
+
+def _second(hashes: np.ndarray, counts: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same shingles by the other family of word hashes."""
+    g = grams(hashes, SHINGLE)
+    out = g[np.minimum(at, max(0, len(g) - 1))] if len(g) else np.zeros(len(at), np.uint64)
+    for i in np.flatnonzero(counts[row] < SHINGLE):
+        out[i] = short_gram(hashes[at[i] : at[i] + counts[row[i]]])[0]
+    return out
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, a 128-bit hash of the shingle set, its size and the band keys (null for a text without words)."""
+    """id, a 128-bit hash of the weighted set, its size and the band keys (null for a text without words)."""
     for whole in batches:
         for b in slices(whole, 1):
-            hashes, _, _, counts = word_hashes(b.column(1))
-            row, gram = shingles(hashes, counts, SHINGLE)
-            n = np.bincount(row, minlength=b.num_rows)
+            hashes, _, _, counts = word_hashes(b.column(1), 2)
+            row, gram, times, at = shingles(hashes[0], counts, SHINGLE)
+            n = np.bincount(row, times, b.num_rows).astype(np.int64)
             some = np.flatnonzero(n)
-            first = (np.cumsum(n) - n)[some]
+            first = np.searchsorted(row, some)
             place = np.cumsum(n > 0) - 1
-            keys = band_keys(dart_minhash(place[row], gram, len(some), BANDS * ROWS))
-            sums = [np.zeros(b.num_rows, np.int64) for _ in range(2)]
-            for s, seed in zip(sums, (0x51, 0xA7)):
+            keys = band_keys(dart_minhash(place[row], gram, len(some), BANDS * ROWS, None if (times == 1).all() else times))
+            sums = []
+            for g in (gram, _second(hashes[1], counts, row, at)):
+                s = np.zeros(b.num_rows, np.int64)
                 if len(some):
-                    s[some] = np.add.reduceat(mix(gram + np.uint64(seed)), first).astype(np.int64)
+                    s[some] = np.add.reduceat(mix(join(g, times.astype(np.uint64), 0x51)), first).astype(np.int64)
+                sums.append(s)
             size = np.where(n > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums), pa.array(n, pa.int64()), lists], ["id", "sa", "sb", "n", "bands"])
@@ -135,17 +157,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send_shingles(buckets: int):
-    """Each block's distinct shingles, to the bucket that a shingle's hash belongs to."""
+    """Each block's distinct elements, to the bucket that an element's hash belongs to."""
 
     def run(group: pa.Table) -> pa.Table:
-        hashes, _, _, counts = word_hashes(_texts(group))
-        h, out, a = np.unique(shingles(hashes, counts, SHINGLE)[1]), [], 0
-        block = group["block"][0].as_py()
-        for bucket, z in enumerate(ranges(h, buckets)):
-            if z > a:
-                out.append((bucket, block, pack_array(h[a:z])))
-            a = z
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HASHES)], schema=HASHES) if out else no_rows(HASHES)
+        return hash_rows(group["block"][0].as_py(), np.unique(text_elements(_texts(group))[1]), buckets)
 
     return run
 
@@ -157,8 +172,7 @@ def _texts(group: pa.Table) -> pa.Array:
 
 def _count_shared(group: pa.Table, told: pa.Table) -> pa.Table:
     """For each text of a block the number of its shingles that another text, here or in another block, has."""
-    hashes, _, _, counts = word_hashes(_texts(group))
-    row, gram = shingles(hashes, counts, SHINGLE)
+    row, gram = text_elements(_texts(group))
     _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
     known = times[which] > 1
     parts = [np.frombuffer(x, np.uint64) for x in told["hashes"].to_pylist()]
@@ -169,11 +183,11 @@ def _count_shared(group: pa.Table, told: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([group["id"], pa.array(shared)], ["id", "shared"])
 
 
-def shared_counts(texts: DataFrame, blocks: int) -> DataFrame:
+def shared_counts(texts: DataFrame, blocks: int, parts: int, buckets: int) -> DataFrame:
     """(id, shared) of texts (id, text), by blocks of bounded size that exchange hashes, not texts."""
-    own = texts.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text").repartitionById(blocks, "block")
-    sent = own.groupBy("block").applyInArrow(_send_shingles(blocks), "bucket int, block int, hashes binary").repartitionById(blocks, "bucket")
-    repeated = sent.groupBy("bucket").applyInArrow(answer_repeats, "block int, hashes binary").repartitionById(blocks, "block")
+    own = dealt_blocks(texts.select("id", "text"), blocks, parts)
+    sent = own.groupBy("block").applyInArrow(_send_shingles(buckets), "bucket int, block int, hashes binary").repartitionById(parts, "bucket")
+    repeated = sent.groupBy("bucket").applyInArrow(answer_repeats, "block int, hashes binary").repartitionById(parts, "block")
     return own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_count_shared, "id long, shared long")
 
 
@@ -191,8 +205,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, sets = None, []
     for whole in batches:
         for batch in slices(whole, 4):
-            hashes, _, _, counts = word_hashes(batch.column(4))
-            row, gram = shingles(hashes, counts, SHINGLE)
+            row, gram = text_elements(batch.column(4))
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             a, salt, role, ids = (batch.column(i).to_pylist() for i in range(4))
             out = []
@@ -233,7 +246,6 @@ def _reaches(both, n, m):
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, class_id (the smallest id of its class) and kept (whether it is that one)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(docs, "text") // BLOCK_BYTES))
     signed = cut(docs.mapInArrow(_sign, "id long, sa long, sb long, n long, bands array<long>"))
     sets = signed.where("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("rep"))
     reps = signed.join(sets.select("rep", "sa", "sb"), ["sa", "sb"]).where("id = rep").dropDuplicates(["sa", "sb"])
@@ -243,7 +255,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = cut(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
     # an id with several texts counts by the one that allows most
-    counts = shared_counts(texts, blocks).groupBy(F.col("id").alias("rep")).agg(F.max("shared").alias("shared"))
+    counts = shared_counts(texts, *layout(docs, "text")).groupBy(F.col("id").alias("rep")).agg(F.max("shared").alias("shared"))
     members = members.join(counts, "rep").where(F.col("shared") * 100 >= F.col("n") * PERCENT)
     order = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("rep")).alias("first"))
     pivots = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("shared").alias("ps")), order).alias("p"), F.count(F.lit(1)).alias("c"))

@@ -6,20 +6,25 @@ or further up in the same one; windows are judged on the input.
 Two equal windows at places i and j share an offset d below the period at which i + d and j + d both lie in the
 difference cover modulo the period. So anchors of WINDOW - PERIOD + 1 words are hashed only at cover places, and every
 repeated window holds a repeated anchor at a place of the cover. Where anchors repeat they are extended: the whole
-windows around them are hashed (96 bits) and compared.
+windows around them are hashed (128 bits, from two families of word hashes that know nothing of each other) and compared.
 
-Documents are dealt into blocks of bounded size by a hash of their id. A block first settles its own repeats, then sends
-each distinct hash once to the bucket that the hash belongs to, so a passage that a third of all documents share costs
-one hash a block. Buckets answer each block with the hashes that another block has (anchors), then with the places
-whose window starts earlier elsewhere (windows). All three passes read the same shuffled blocks.
+Documents are dealt into blocks of bounded size by a hash of their id and text, blocks into partitions of about
+``PART_BYTES``, which work off one block after another. A block first settles its own repeats, then sends each distinct
+hash once to the bucket that the hash belongs to, so a passage that a third of all documents share costs one hash a
+block; only buckets that a block has hashes for are visited, so the work grows with the hashes. Buckets answer each block
+with the hashes that another block has (anchors), then with the places whose window starts earlier elsewhere (windows),
+a stretch of ``STRETCH`` hashes at a time. All three passes read the same shuffled blocks.
 
 Defined results: a null or empty text has no words; a text of fewer than WINDOW words loses none; a null id ranks after
 every other id; rows that repeat an id are the same document, so equal places in them are not earlier than each other;
-an empty table gives an empty result; other columns are carried on request, whatever their names.
+a text of any length stays in one block, with working memory of some thirty bytes a word; ids are whole numbers, or text
+that reads as one; an empty table gives an empty result; other columns are carried on request, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +36,9 @@ from .words import grams, word_hashes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)  # every difference modulo 13 is one of two members
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, PART_BYTES = 2 << 20, 64 << 20
+BUCKETS = 4  # for each partition
+STRETCH = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -46,7 +53,7 @@ class Block:
         if isinstance(text, pa.ChunkedArray):
             text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
         self.text = text
-        self.hashes, _, _, self.counts = word_hashes(text)
+        (self.hashes, self.others), _, _, self.counts = word_hashes(text, 2)
         self.ends = np.cumsum(self.counts)
         self.begins = self.ends - self.counts
         self.ids = self.table["id"].cast(pa.int64()).fill_null(LAST).to_numpy()
@@ -86,10 +93,45 @@ class Block:
         return starts[starts + self.window <= self.ends[row[starts]]]
 
 
-def ranges(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's share of the sorted hashes ends."""
-    edges = np.array([((b << 64) // buckets) for b in range(1, buckets)], dtype=np.uint64)
-    return np.r_[np.searchsorted(h, edges), len(h)]
+def layout(df: DataFrame, text: str) -> tuple[int, int, int]:
+    """Numbers of blocks, of partitions, and of buckets of hashes, all in proportion to the input."""
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    size = input_bytes(df, text)
+    parts = max(2 * parallel, -(-size // PART_BYTES))
+    return max(parts, -(-size // BLOCK_BYTES)), parts, BUCKETS * parts
+
+
+def dealt_blocks(df: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """``df`` (id, text, ...) with its block; one exchange that all passes share."""
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
+    return df.select(block.alias("block"), "*").repartitionById(parts, "block")
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By range, so that sorted hashes have sorted buckets."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def stretches(h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) for each bucket that occurs among sorted hashes."""
+    if len(h):
+        b = bucket_of(h, buckets)
+        edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        yield from zip(b[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(h)])
+
+
+def shares(parts: list[np.ndarray]) -> Iterator[list[slice]]:
+    """Cuts sorted arrays at common hashes, so that about ``STRETCH`` of all of them are looked at together."""
+    total = sum(map(len, parts))
+    pieces = -(-total // STRETCH)
+    if pieces > 1:  # edges from a regular sample of all arrays
+        sample = np.sort(np.concatenate([p[:: max(1, total // 65536)] for p in parts]))
+        edges = np.unique(sample[np.arange(1, pieces) * len(sample) // pieces])
+    else:
+        edges = np.zeros(0, np.uint64)
+    cuts = [np.r_[0, np.searchsorted(p, edges), len(p)] for p in parts]
+    for i in range(len(edges) + 1):
+        yield [slice(c[i], c[i + 1]) for c in cuts]
 
 
 def pack_array(x: np.ndarray) -> bytes:
@@ -118,16 +160,15 @@ def _block_of(group: pa.Table) -> int:
     return group["block"][0].as_py()
 
 
+def hash_rows(block: int, h: np.ndarray, buckets: int) -> pa.Table:
+    """A block's sorted distinct hashes, a row for each bucket."""
+    out = [(bucket, block, pack_array(h[a:z])) for bucket, a, z in stretches(h, buckets)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HASHES)], schema=HASHES) if out else no_rows(HASHES)
+
+
 def _send_anchors(window: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        block = _block_of(group)
-        h = np.unique(Block(group, window).anchors()[1])
-        out, a = [], 0
-        for bucket, z in enumerate(ranges(h, buckets)):
-            if z > a:
-                out.append((bucket, block, pack_array(h[a:z])))
-            a = z
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), HASHES)], schema=HASHES) if out else no_rows(HASHES)
+        return hash_rows(_block_of(group), np.unique(Block(group, window).anchors()[1]), buckets)
 
     return run
 
@@ -136,18 +177,21 @@ def answer_repeats(group: pa.Table) -> pa.Table:
     """For one bucket's rows (block, hashes), each block's hashes sorted and distinct: those that another block has too."""
     blocks = group["block"].to_numpy()
     parts = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
-    h = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    same = h[1:] == h[:-1]
-    twice = np.r_[same, False] | np.r_[False, same]
-    h, owner = h[twice], owner[twice]
-    order = np.argsort(owner, kind="stable")
-    h, owner = h[order], owner[order]
-    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(h) else np.zeros(0, int)
-    stop = np.r_[edge[1:], len(h)]
-    return pa.Table.from_arrays([pa.array(blocks[owner[edge]], pa.int32()), pa.array([pack_array(h[a:z]) for a, z in zip(edge, stop)], pa.binary())], schema=ANSWERS)
+    found = []
+    for slices_ in shares(parts):
+        own = [p[x] for p, x in zip(parts, slices_)]
+        h = np.concatenate(own)
+        owner = np.repeat(np.arange(len(own), dtype=np.int32), [len(p) for p in own])
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        same = h[1:] == h[:-1]
+        twice = np.r_[same, False] | np.r_[False, same]
+        h, owner = h[twice], owner[twice]
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(h) else np.zeros(0, int)
+        found += [(blocks[owner[a]], pack_array(h[a:z])) for a, z in zip(edge, np.r_[edge[1:], len(h)])]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), ANSWERS)], schema=ANSWERS) if found else no_rows(ANSWERS)
 
 
 def _send_windows(window: int, buckets: int):
@@ -159,7 +203,7 @@ def _send_windows(window: int, buckets: int):
         at = b.candidates(np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
         if not len(at):
             return no_rows(WINDOWS)
-        high, low = grams(b.hashes, window)[at], (grams(b.hashes, window, 5)[at] >> np.uint64(32)).astype(np.uint32)
+        high, low = grams(b.hashes, window)[at], grams(b.others, window, 5)[at]
         row = b.rows()[at]
         order = np.lexsort((at, low, high))  # places come in the order of id, then place
         same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
@@ -169,45 +213,52 @@ def _send_windows(window: int, buckets: int):
         later = (ids[order] != ids[lead]) | (within[order] > within[lead])
         out = [(block % buckets, block, b"", b"", _gaps(np.sort(at[order[~first & later]])), b"", b"")]
         keep = order[first | ~later]  # rows that repeat an id share the fate of the first
-        edge, a = ranges(high[keep], buckets), 0
-        for bucket, z in enumerate(edge):
-            if z > a:
-                own = np.sort(keep[a:z])
-                rows = np.unique(row[own])
-                out.append((bucket, block, pack_array(high[own]), pack_array(low[own]), _gaps(at[own]), pack_array(b.ids[rows]), pack_array(b.begins[rows])))
-            a = z
+        for bucket, a, z in stretches(high[keep], buckets):
+            own = keep[a:z]  # in the order of their hashes
+            rows, which = np.unique(row[own], return_inverse=True)
+            out.append((bucket, block, pack_array(high[own]), pack_array(low[own]), pack_array(at[own].astype(np.uint32)), pack_array(b.ids[rows]), pack_array(b.begins[rows])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), WINDOWS)], schema=WINDOWS)
 
     return run
 
 
 def _answer_windows(group: pa.Table) -> pa.Table:
-    out = []
-    rows = group.to_pylist()
-    own = [r for r in rows if r["high"]]
-    for r in rows:
-        if not r["high"] and r["places"]:
-            out.append((r["block"], r["places"]))
-    if own:
-        high = np.concatenate([np.frombuffer(r["high"], np.uint64) for r in own])
-        low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in own])
-        places = [_places(r["places"]) for r in own]
-        ids, within = [], []
-        for r, p in zip(own, places):
+    out: dict[int, list[np.ndarray]] = {}
+    own = []
+    for r in group.to_pylist():
+        if r["high"]:
+            own.append(r)
+        elif r["places"]:
+            out.setdefault(r["block"], []).append(_places(r["places"]))
+    highs = [np.frombuffer(r["high"], np.uint64) for r in own]
+    for slices_ in shares(highs):
+        some = [(r, h[x], x) for r, h, x in zip(own, highs, slices_) if x.stop > x.start]
+        if not some:
+            continue
+        ids, within, places, lows = [], [], [], []
+        for r, _, x in some:
+            p = np.frombuffer(r["places"], np.uint32)[x].astype(np.int64)
             begins = np.frombuffer(r["begins"], np.int64)
             k = np.searchsorted(begins, p, "right") - 1
             ids.append(np.frombuffer(r["ids"], np.int64)[k])
             within.append(p - begins[k])
-        owner = np.repeat(np.arange(len(own)), [len(p) for p in places])
+            places.append(p)
+            lows.append(np.frombuffer(r["low"], np.uint64)[x])
+        high, low = np.concatenate([h for _, h, _ in some]), np.concatenate(lows)
+        owner = np.repeat(np.arange(len(some)), [len(p) for p in places])
         at, key, inside = np.concatenate(places), np.concatenate(ids), np.concatenate(within)
         order = np.lexsort((inside, key, low, high))
         same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
         first = np.r_[True, ~same]
         lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         gone = order[~first & ((key[order] != key[lead]) | (inside[order] > inside[lead]))]
-        for i in np.unique(owner[gone]):
-            out.append((own[i]["block"], _gaps(np.sort(at[gone[owner[gone] == i]]))))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PLACES)], schema=PLACES) if out else no_rows(PLACES)
+        gone = gone[np.argsort(owner[gone], kind="stable")]
+        edge = np.flatnonzero(np.r_[True, owner[gone][1:] != owner[gone][:-1]]) if len(gone) else []
+        for a, z in zip(edge, [*edge[1:], len(gone)]):
+            out.setdefault(some[owner[gone[a]]][0]["block"], []).append(at[gone[a:z]])
+    blocks = list(out)
+    told = [_gaps(np.sort(np.concatenate(out[b]))) for b in blocks]
+    return pa.Table.from_arrays([pa.array(blocks, pa.int32()), pa.array(told, pa.binary())], schema=PLACES)
 
 
 def _remove(window: int, width: int, whole: bool):
@@ -246,17 +297,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if window < PERIOD + 3:
         raise ValueError("the window is too short for the cover")
     carry = carry or []
-    parallel = df.sparkSession.sparkContext.defaultParallelism
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)])
-    blocks = max(2 * parallel, -(-input_bytes(slim, "text") // BLOCK_BYTES))
-    buckets = max(parallel, blocks // 2)
-    own = slim.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "*").repartitionById(blocks, "block")  # one exchange for all three passes
+    blocks, parts, buckets = layout(slim, "text")
+    own = dealt_blocks(slim, blocks, parts)
     ddl = {pa.int32(): "int", pa.binary(): "binary"}
     kind = lambda schema: ", ".join(f"{f.name} {ddl[f.type]}" for f in schema)
     anchors = own.groupBy("block").applyInArrow(_send_anchors(window, buckets), kind(HASHES))
-    repeated = anchors.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(answer_repeats, kind(ANSWERS)).repartitionById(blocks, "block")
+    repeated = anchors.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(answer_repeats, kind(ANSWERS)).repartitionById(parts, "block")
     windows = own.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_windows(window, buckets), kind(WINDOWS))
-    places = windows.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_windows, kind(PLACES)).repartitionById(blocks, "block")
+    places = windows.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(_answer_windows, kind(PLACES)).repartitionById(parts, "block")
     width = len(slim.columns)
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*slim.schema.fields, *(T.StructField("n", k) for k in (T.LongType(), T.LongType(), T.StringType()))])]
     out = own.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_remove(window, width, whole), T.StructType(fields))

@@ -3,7 +3,7 @@
 import hashlib
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -139,8 +139,16 @@ def test_substring_filter(spark):
 
 
 def shingle_set(text):
+    """The multiset of shingles; the k-th time of one is an element of its own."""
     w = (text or "").encode().split()
-    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+    seen = Counter()
+    out = set()
+    for k in range(max(1, len(w) - 4)):
+        g = tuple(w[k : k + 5])
+        if g:
+            out.add((g, seen[g]))
+            seen[g] += 1
+    return frozenset(out)
 
 
 def brute_near(rows):
@@ -188,6 +196,86 @@ def test_near_chains(spark):
     assert minhash.near_classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def thue_morse(n):
+    """The sequence of 0 and 1 as two words that collide under every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_of_one_polynomial_hash(spark):
+    x, y = thue_morse(1024)
+    tail = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{x} x y z"), (4, f"{y} x y z"), (5, f"{x[:60]} p q r"), (6, f"{y[:60]} p q r")]
+    assert substring_rows(substring_dedup.digests(docs(spark, rows))) == brute_substring(rows)
+    assert near_rows(minhash.near_classes(docs(spark, rows))) == brute_near(rows)
+
+
+def test_near_counts_how_often(spark):
+    line = "one two three four five six seven. "
+    rows = [(1, line * 50), (2, line * 49), (3, line * 20), (4, line * 19 + "eight"), (5, line), (6, line * 2)]
+    got = near_rows(minhash.near_classes(docs(spark, rows)))
+    assert got == brute_near(rows) and got[2] == 1 and got[3] == 3 and got[4] == 3 and got[5] == 5
+
+
+def test_one_text_of_many_words(spark):
+    rng = random.Random(12)
+    words = [str(rng.randint(0, 10**9)) for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:280_000])), (3, "a " * 400_000), (4, "a " * 399_999 + "b"), (5, " ".join(words[5000:5030]))]
+    assert substring_rows(substring_dedup.digests(docs(spark, rows))) == brute_substring(rows)
+    assert near_rows(minhash.near_classes(docs(spark, rows))) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_digests_ignore_other_columns(spark):
+    df = docs(spark, [(1, "a b"), (2, None)])
+    for name in ("n_words", "n_removed", "kept_text", "kept_sha256", "block", "id"):
+        df = df.withColumn(name, F.lit("mine"))
+    assert [r[:3] for r in substring_rows(substring_dedup.digests(df))] == [(1, 2, 0), (2, 0, 0)]
+    assert near_rows(minhash.near_classes(df)) == {1: 1, 2: 2}
+
+
+def test_many_blocks(spark, monkeypatch):
+    """A hundred times the blocks: the same result, no more partitions, and each hash still goes out once."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) + (" " + passage if i % 7 == 0 else "")) for i in range(300)]
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 100)
+    blocks, parts, buckets = substring_dedup.layout(docs(spark, rows).select("text"), "text")
+    assert blocks >= 100 and parts == 2 * spark.sparkContext.defaultParallelism and buckets == 4 * parts
+    assert substring_rows(substring_dedup.digests(docs(spark, rows))) == brute_substring(rows)
+    assert near_rows(minhash.near_classes(docs(spark, rows))) == brute_near(rows)
+    h = np.sort(rng_hashes(1000))
+    for n in (10, 10_000_000):
+        sent = list(substring_dedup.stretches(h, n))
+        assert len(sent) <= len(h) and sum(z - a for _, a, z in sent) == len(h) and all((substring_dedup.bucket_of(h[a:z], n) == b).all() for b, a, z in sent)
+
+
+def rng_hashes(n):
+    return np.random.default_rng(1).integers(0, 1 << 64, n, dtype=np.uint64)
+
+
+def test_stretches_of_hashes(monkeypatch):
+    """Buckets worked off a stretch at a time give what one pass gives."""
+    import pyarrow as pa
+
+    h = rng_hashes(5000)
+    r = np.random.default_rng(2)
+    parts = [np.sort(r.choice(h, 1500, replace=False)) for _ in range(6)]
+    table = pa.table({"block": pa.array(range(6), pa.int32()), "hashes": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def answers():
+        out = defaultdict(set)
+        for row in substring_dedup.answer_repeats(table).to_pylist():
+            out[row["block"]] |= set(np.frombuffer(row["hashes"], np.uint64).tolist())
+        return out
+
+    want = answers()
+    times = Counter(x for p in parts for x in p.tolist())
+    assert want == {i: {x for x in p.tolist() if times[x] > 1} for i, p in enumerate(parts)}
+    monkeypatch.setattr(substring_dedup, "STRETCH", 100)
+    assert answers() == want
+
+
 def test_near_nulls_and_repeats(spark):
     text = " ".join(f"t{i}" for i in range(40))
     rows = [(None, text), (4, text), (2, text + " more"), (2, "something else here that is long enough to shingle"), (None, "no one has this text but me and that is fine"), (9, text), (9, text)]
