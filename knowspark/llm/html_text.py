@@ -1,16 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks, each with its root-to-leaf path of block tags. For every path the text length and the
-punctuation per node are aggregated, linked text is discounted, the values are smoothed over neighbouring nodes, fused
-(geometric mean), weighted by what the path's names say, and thresholded: paths above the threshold hold content. The
-content root is the nearest article or main element, else the deepest element that holds the chosen nodes; every block
-under it that is not itself boilerplate is kept, so short paragraphs, headings and lists of the article are not lost.
+A page is read once into blocks, each with its root-to-leaf path of block tags. For every path the text length without
+links and the punctuation per node are aggregated, smoothed over neighbouring nodes, fused (geometric mean) and weighted
+by what the path's names make likely: more within an article or main element, a tenth within elements that are named
+like boilerplate, nothing within elements that are never content. Paths whose score reaches the threshold, which the best
+unmarked path sets, hold content: their nodes are chosen, whatever they are called.
+
+The region of the article is where the chosen text lies: from the root down, the child that holds nearly all of it, as
+far as the first article or main element. A heading of the first rank that comes before belongs to it. Within the region
+every block stays, however short, unless its path has failed and it is named like boilerplate (or, outside article and
+main, consists of links): so short paragraphs, headings and lists are not lost. Inline elements belong to their block;
+only adverts and hidden ones go.
 
 Each page is handled by itself, so partitions need nothing from each other.
 
 Defined results: null or empty html, and pages without text, give an empty string; unclosed, misnested and stray tags are
 repaired as browsers do for paragraphs and list items; an unclosed comment or script runs to the end; ``br`` is white
-space; elements may be nested to any depth; ids and urls may be null or repeated; an empty table gives an empty result;
+space; elements may be nested to any depth and texts have any length; unclosed inline adverts are text; ids and urls may be null or repeated; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -32,7 +38,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object audio video canvas select noframes".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object audio video canvas select noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -55,6 +61,10 @@ MARKS = frozenset(
 #: Of these, names that layouts also give to what surrounds the article.
 SURROUND = frozenset("sidebar sidenav nav menu header banner share sharing social related widget widgets search notice modal overlay popup hidden skip toc".split())
 WHOLE = frozenset("article main".split())
+#: Whole class names by which an inline element is an advert.
+INLINE_ADS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted".split())
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+WITHIN, NAMED, SHARE, LINKED = 3.0, 0.1, 0.75, 0.6
 #: By name, the rules of what an opening tag closes that an open element ends (true) or shields from (false).
 RULES = {"p": ({"p"}, KEEPS_P), **CLOSES}
 EFFECT: dict[str, list[tuple[str, bool]]] = {}
@@ -67,7 +77,7 @@ HARD, SOFT, MAYBE = 1, 2, 3
 class Node:
     """An element, with what its descendants need of it and its ancestors: no block looks at the whole stack."""
 
-    __slots__ = ("parent", "name", "number", "depth", "end", "path", "hard", "header", "heading", "whole", "outer", "mark", "near")
+    __slots__ = ("parent", "name", "number", "depth", "end", "path", "hard", "header", "heading", "whole", "outer", "mark", "near", "mass", "heavy")
 
     def __init__(self, parent, name, bad, number, path):
         self.parent, self.name, self.number, self.path, self.end = parent, name, number, path, math.inf
@@ -78,6 +88,7 @@ class Node:
         self.whole = number if name in WHOLE else parent.whole if parent else 0  # the innermost article or main
         self.outer = (parent.outer or self.whole) if parent else 0  # the outermost
         self.mark = (number, bad, parent.mark) if bad > HARD else parent.mark if parent else None
+        self.mass, self.heavy = 0.0, None  # chosen text below, and the child with most of it
         self.near = parent.near if parent else {}  # by rule, the place on the stack of what it closes
         if name in EFFECT:
             self.near = dict(self.near)
@@ -86,10 +97,12 @@ class Node:
 
 
 class Block:
-    __slots__ = ("node", "text", "linked", "bad")
+    """``never``: it lies in an element that is not content; ``named``: in one that is named like boilerplate."""
 
-    def __init__(self, node, text, linked, bad):
-        self.node, self.text, self.linked, self.bad = node, text, linked, bad
+    __slots__ = ("node", "text", "linked", "never", "named")
+
+    def __init__(self, node, text, linked, never):
+        self.node, self.text, self.linked, self.never, self.named = node, text, linked, never, False
 
 
 def _marked(name: str, attrs: str) -> tuple[str, int]:
@@ -105,20 +118,41 @@ def _marked(name: str, attrs: str) -> tuple[str, int]:
                     label = f"{name}.{words[0]}"
                 if name not in ("html", "body", "article", "main") and (found := MARKS.intersection(words)) and bad != HARD:
                     bad = MAYBE if found <= SURROUND and bad != SOFT else SOFT
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
                 bad = HARD
     return label, bad
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; white space within each is one space."""
+def _left_out(attrs: str) -> bool:
+    """Whether an inline element is an advert, or not shown."""
+    for m in ATTR.finditer(attrs):
+        key = (m[1] or m[5]).lower()
+        value = next((v for v in m.group(2, 3, 4) if v is not None), "").lower()
+        if key == "class" and INLINE_ADS.intersection(value.split()) or key == "hidden" or key == "style" and HIDDEN.search(value):
+            return True
+    return False
+
+
+class Mute:
+    """An inline element whose text does not count, if it is closed in the block that it was opened in."""
+
+    __slots__ = ("name", "open", "level", "at")
+
+    def __init__(self, name, level, at):
+        self.name, self.open, self.level, self.at = name, 1, level, at
+
+
+def blocks(page: str) -> tuple[list[Block], list[Node]]:
+    """The page's text blocks in order, white space within each being one space, and its elements."""
     out: list[Block] = []
     top = Node(None, "", 0, 0, 0)
+    nodes = [top]
     stack: list[Node] = []
     places: dict[str, list[int]] = {}  # by name, where on the stack
     paths: dict[tuple[int, str], int] = {}
     held: list[tuple[str, bool]] = []
     links = at = number = 0
+    mute: Mute | None = None
 
     def flush() -> None:
         nonlocal held
@@ -127,16 +161,21 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape(raw).split()) if raw and not raw.isspace() else ""
             if text:
                 node = stack[-1] if stack else top
-                bad = node.hard or node.header and not (node.whole and node.heading)
-                out.append(Block(node, text, sum(len(t.strip()) for t, a in held if a), bad))
+                never = node.hard or node.header and not (node.whole and node.heading)
+                out.append(Block(node, text, sum(len(t.strip()) for t, a in held if a), never))
             held = []
+        if mute:
+            mute.at = 0
 
     def pop_to(i: int) -> None:
+        nonlocal mute
         flush()
         while len(stack) > i:
             node = stack.pop()
             node.end = number
             places[node.name].pop()
+        if mute and len(stack) < mute.level:
+            mute = None
 
     size = len(page)
     while at < size:
@@ -177,17 +216,25 @@ def blocks(page: str) -> list[Block]:
                     if near is not None:
                         pop_to(near)
                 label, bad = _marked(name, attrs)
+                if mute:
+                    bad = HARD  # a block within an advert
                 if name == "body" and places.get("head"):
                     pop_to(places["head"][0])
                 number += 1
                 parent = stack[-1] if stack else top
                 places.setdefault(name, []).append(len(stack))
                 stack.append(Node(parent, name, bad, number, paths.setdefault((parent.path, label), len(paths) + 1)))
-        elif attrs and not closing and _marked(name, attrs)[1]:  # an inline element that names itself boilerplate
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at
+                nodes.append(stack[-1])
+        elif mute:
+            if name == mute.name and not attrs.endswith("/"):
+                mute.open += -1 if closing else 1
+                if not mute.open:
+                    del held[mute.at :]
+                    mute = None
+        elif attrs and not closing and not attrs.endswith("/") and _left_out(attrs):
+            mute = Mute(name, len(stack), len(held))
     flush()
-    return _settle(out)
+    return _settle(out), nodes
 
 
 def _settle(found: list[Block]) -> list[Block]:
@@ -213,7 +260,7 @@ def _settle(found: list[Block]) -> list[Block]:
         _, mark, up = marks[n]
         off[n] = bool(up and off[up[0]]) or deepest[n] <= n and not (mark == MAYBE and 2 * inside[n] > total)
     for b in found:
-        b.bad = b.bad or b.node.mark is not None and off[b.node.mark[0]]
+        b.named = b.node.mark is not None and off[b.node.mark[0]]
     return found
 
 
@@ -232,39 +279,69 @@ def path_scores(found: list[Block]) -> list[float]:
         near = [(kernel[d + 1], ratio[i + d]) for d in (-1, 0, 1) if 0 <= i + d < len(found)]
         w = sum(k for k, _ in near)
         length, marks = (sum(k * r[j] for k, r in near) / w for j in (0, 1))
-        weight = 0.0 if found[i].bad else 1.0 + (found[i].node.whole > 0)
+        b = found[i]
+        weight = 0.0 if b.never else (WITHIN if b.node.whole else 1.0) * (NAMED if b.named else 1.0)
         out.append(weight * math.sqrt(length * (marks + 0.25)))
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The text of the article, its blocks joined by one newline."""
-    found = blocks(page) if page else []
-    if not found:
-        return ""
+def content_paths(found: list[Block]) -> set[int]:
+    """The paths whose best score reaches the threshold; what is named like boilerplate must reach half the best."""
     scores = path_scores(found)
+    most = max((s for b, s in zip(found, scores) if not b.named), default=0.0)
+    if most <= 0:
+        return set()
     mean = sum(scores) / len(scores)
-    limit = min(math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)), 0.5 * max(scores))
-    by_path: dict[int, float] = {}
-    for b, s in zip(found, scores):
-        by_path[b.node.path] = max(by_path.get(b.node.path, 0.0), s)
-    chosen = [b for b in found if not b.bad and by_path[b.node.path] > 0 and by_path[b.node.path] >= limit]
-    if not chosen:
+    limit = min(math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)), 0.5 * most)
+    return {b.node.path for b, s in zip(found, scores) if s > 0 and s >= (0.5 * most if b.named else limit)}
+
+
+def region(found: list[Block], nodes: list[Node], paths: set[int]) -> Node:
+    """The element that the article is in."""
+    for b in found:
+        if b.node.path in paths and not b.never:
+            b.node.mass += len(b.text)
+    for node in reversed(nodes):  # parents come before their children
+        up = node.parent
+        if up and node.mass:
+            up.mass += node.mass
+            if up.heavy is None or node.mass >= up.heavy.mass:
+                up.heavy = node
+    root = nodes[0]
+    total = root.mass
+    while (child := root.heavy) and child.mass >= SHARE * total and (child.heavy or child.name in WHOLE):
+        root = child
+        if root.name in WHOLE:
+            break
+    return root
+
+
+def main_text(page: str | None) -> str:
+    """The text of the article, its blocks joined by one newline."""
+    found, nodes = blocks(page) if page else ([], [])
+    paths = content_paths(found) if found else set()
+    if not paths:
         return ""
-    if any(b.node.outer and not b.bad for b in found):
-        best = {b.node.outer for b in chosen} - {0}
-        keep = [b for b in found if not b.bad and b.node.outer in best]
-    else:  # numbers grow as elements open, so the first and the last meet where all do
-        nodes = sorted((b.node for b in chosen[1:]), key=lambda n: n.number)
-        root = chosen[0].node.parent or chosen[0].node
-        for other in nodes[:1] + nodes[-1:]:
-            while root is not other:
-                if root.depth >= other.depth:
-                    root = root.parent
-                else:
-                    other = other.parent
-        keep = [b for b in found if not b.bad and root.number <= b.node.number <= root.end]
-    return "\n".join(b.text for b in keep)
+    root = region(found, nodes, paths)
+    inside = [i for i, b in enumerate(found) if root.number <= b.node.number <= root.end]
+    first = inside[0]
+    if not root.whole and not any(found[i].node.name == "h1" for i in inside):
+        first = next((i for i in range(first - 1, -1, -1) if found[i].node.name == "h1"), first)
+    linked: dict[int, list[int]] = {}
+    for b in found:
+        t = linked.setdefault(b.node.path, [0, 0])
+        t[0] += b.linked
+        t[1] += len(b.text)
+
+    def stays(b: Block) -> bool:
+        if b.never:
+            return False
+        if b.node.path in paths:
+            return True
+        links, size = linked[b.node.path]
+        return not b.named and (b.node.whole > 0 or links < LINKED * size)
+
+    return "\n".join(found[i].text for i in [*range(first, inside[0]), *inside] if stays(found[i]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
