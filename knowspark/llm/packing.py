@@ -3,12 +3,15 @@
 A document longer than the longest sequence is cut into pieces of that length and a rest; nothing is dropped. Pieces
 are dealt into shards by a hash, so a shard is a random share of the table whatever its keys, and shards are packed
 side by side. Within a shard pieces go longest first into the open bin with the least room that still holds them. Where
-none does, the new bin's length is the one whose cost for each unit that will be used is least, given what pieces are
-still to come: a short bin wastes little, a longer one may be filled by them. In the end each bin is downsized to the
-shortest permitted length that holds its contents.
+none does, a new bin is opened in the length that will cost least for each unit it comes to hold. That is foreseen from
+the sizes of the pieces still to come: for every permitted length the bin is filled up with the longest of them that fit
+and costed at the length it would be downsized to; of equals the longer is opened. So a piece
+that leaves a short bin half empty opens a longer one, where three of its like go in twice the length. In the end each
+bin is downsized to the shortest permitted length that holds its contents, which is often shorter than foreseen. A shard
+takes the cheaper of this plan and of the one that opens the shortest length throughout.
 
 Defined results: null and empty texts are pieces of no length that take no room; they go to any bin, or to one of the
-shortest length where there is no other. Repeated ids are separate documents, told apart by ``item``; an empty table
+shortest length where there is no other. Texts have any length. Repeated ids are separate documents, told apart by ``item``; an empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 LENGTHS = (512, 1024, 2048, 4096)
 SHARD = 50_000
+OVERHEAD = 64
 
 
 def n_words(text: Column) -> Column:
@@ -32,8 +36,9 @@ def n_words(text: Column) -> Column:
 
 
 def default_cost(length: int) -> float:
-    """Cost of a sequence: its units and a share for attention that grows with its square."""
-    return length + length * length / 16384 + 8
+    """Cost of a sequence in units: its length, the share that attention adds in a network 4,096 wide (length squared by
+    six times the width), and a fixed ``OVERHEAD`` for each sequence. Of full sequences 1,024 is the cheapest for a unit."""
+    return length + length * length / (6 * 4096) + OVERHEAD
 
 
 class Room:
@@ -58,31 +63,71 @@ class Room:
         return room, number
 
 
-def best_fit(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, cost=default_cost) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each item, and the length of each bin. Items may not be longer than the longest length."""
-    lengths = sorted(lengths)
-    order = np.argsort(-sizes, kind="stable")
+class Ahead:
+    """The sizes of the pieces still to come, and what of them would go into a new bin."""
+
+    def __init__(self, sizes: np.ndarray, most: int) -> None:
+        self.counts = np.bincount(sizes, minlength=most + 1).tolist()
+        self.bits = sum(1 << n for n, c in enumerate(self.counts) if c and n)
+
+    def pass_by(self, size: int) -> None:
+        self.counts[size] -= 1
+        if size and not self.counts[size]:
+            self.bits &= ~(1 << size)
+
+    def fill(self, room: int) -> int:
+        """Units that the longest pieces which fit, one after another, bring into a room."""
+        got, bits = 0, self.bits
+        while bits := bits & ((1 << room + 1) - 1):
+            size = bits.bit_length() - 1
+            n = min(self.counts[size], room // size)
+            got += n * size
+            room -= n * size
+            bits &= ~(1 << size)
+        return got
+
+
+def place(sizes: np.ndarray, lengths: Sequence[int], cost, foresee: bool) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Bin and offset of each item, and the opened length and used units of each bin, by one plan."""
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    left = int(sizes.sum())
     opened: list[int] = []
     used: list[int] = []
-    room = Room(lengths[-1])
-    for i in order:
+    room, ahead = Room(lengths[-1]), Ahead(sizes, lengths[-1])
+    price = [cost(n) for n in lengths]
+    for i in np.argsort(-sizes, kind="stable").tolist():
         need = int(sizes[i])
+        ahead.pass_by(need)
         found = room.take(need)
         if found is None:
-            # what is still to come fills a bin up, as far as it lasts
-            best = min((cost(n) / min(n, max(left, need, 1)), n) for n in lengths if n >= need)[1]
-            found = best, len(opened)
-            opened.append(best)
+            first = at = bisect_left(lengths, need)
+            if foresee and need:
+                least = None
+                for k in range(first, len(lengths)):
+                    fill = need + ahead.fill(lengths[k] - need)
+                    each = price[bisect_left(lengths, fill)] / fill
+                    if least is None or each <= least:  # of equals the one with more room
+                        least, at = each, k
+            found = lengths[at], len(opened)
+            opened.append(lengths[at])
             used.append(0)
         free, number = found
         bins[i], offsets[i] = number, used[number]
         used[number] += need
-        left -= need
         room.put(free - need, number)
-    final = np.array([lengths[bisect_left(lengths, u)] for u in used], np.int64)
-    return bins, offsets, final
+    return bins, offsets, opened, used
+
+
+def best_fit(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, cost=default_cost) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of each item, and the length of each bin. Items may not be longer than the longest length."""
+    lengths = sorted(lengths)
+    best = None
+    for foresee in (True, False):
+        bins, offsets, _, used = place(sizes, lengths, cost, foresee)
+        final = np.array([lengths[bisect_left(lengths, u)] for u in used], np.int64)
+        total = sum(cost(n) * int(c) for n, c in zip(*np.unique(final, return_counts=True)))
+        if best is None or total < best[0]:
+            best = total, (bins, offsets, final)
+    return best[1]
 
 
 def pieces(docs: DataFrame, size: Column, lengths: Sequence[int] = LENGTHS) -> DataFrame:
