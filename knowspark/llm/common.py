@@ -70,6 +70,17 @@ def dealt(df: DataFrame, size: int, *columns: str, most: int = 64 << 20) -> Data
     return df.repartition(parts, *columns)
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """A left join of many rows with facts, one for each key, of which there are far fewer.
+
+    A key that most rows have is dealt out to ``salts`` tasks by the hash of column ``by``, each with its copy of the fact.
+    """
+    salt = fresh(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = facts.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return salted.join(copies, [*keys, salt], "left").drop(salt)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text and at most ``rows`` rows, so that working memory stays small."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
