@@ -5,12 +5,13 @@ their responses are max-pooled within the chunk, and the chunks' pooled vectors
 one logistic score. Besides the byte itself a filter sees one more input at each place: how far back the same eight
 bytes last occurred in the chunk, so that repetition is visible to a local filter.
 
-Training takes a bounded sample: ``TRAIN_DOCS`` labelled documents, those with the smallest hashed ids of each class,
-and of each at most ``TRAIN_CHUNKS`` chunks spread evenly over the text. Scoring always covers whole texts.
+Training takes a bounded sample of rows: up to ``TRAIN_DOCS`` labelled documents, those with the smallest hashed ids of
+each class, as many of them as have ``TRAIN_BYTES`` together. Their texts are whole, as are all texts that are scored.
 
 Defined results: null and empty texts are one empty chunk and get the score the network gives that; rows with a null
 id or label, and labels without a document, teach nothing; with fewer than two classes among the labels every score is
-the share of label 1 (0.5 without labels); an empty table gives an empty result; other columns are never read.
+the share of label 1 (0.5 without labels); an empty table gives an empty result; texts of any length are worked off
+a block of chunks at a time; other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .words import text_buffer
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS = 8, 4, 8, 32
 PAD, BACK = 256, 8
-TRAIN_DOCS, TRAIN_CHUNKS, ROUNDS, LEAST_STEPS, BATCH = 3000, 6, 16, 500, 32
+TRAIN_DOCS, TRAIN_BYTES, ROUNDS, LEAST_STEPS, BATCH = 3000, 24 << 20, 10, 500, 32
 THRESHOLD = 0.3
 BLOCK = 512
 
@@ -66,16 +67,16 @@ def _distance(chunks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    far = _distance(chunks)
+def _windows(net: Network, chunks: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """What the filters see at each of their places."""
     x = net.emb[chunks] + net.back[far]
     n, places = len(chunks), (CHUNK - WIDTH) // STRIDE + 1
     s = x.strides
-    return np.lib.stride_tricks.as_strided(x, (n, places, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2])), far
+    return np.lib.stride_tricks.as_strided(x, (n, places, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2]))
 
 
 def _pool(net: Network, chunks: np.ndarray) -> np.ndarray:
-    win, _ = _windows(net, chunks)
+    win = _windows(net, chunks, _distance(chunks))
     n, places, k = win.shape
     r = win.reshape(n * places, k) @ net.filters
     return np.maximum(r.reshape(n, places, FILTERS).max(1) + net.bias, 0)
@@ -113,7 +114,7 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         total[row[first]] += np.add.reduceat(pooled, first, 0)
         top[row[first]] = np.maximum(top[row[first]], np.maximum.reduceat(pooled, first, 0))
-    return _sigmoid(np.hstack([total / n[:, None], top]) @ net.out + net.out_bias)
+    return _sigmoid((np.hstack([total / n[:, None], top]) * net.out).sum(1) + net.out_bias)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int | None = None) -> Network:
@@ -140,8 +141,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int | None
     for t in texts:
         raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
         s = chunk_starts(len(raw))
-        s = s[np.unique(np.linspace(0, len(s) - 1, min(len(s), TRAIN_CHUNKS)).round().astype(int))]
-        docs.append(_cut(raw, s, np.full(len(s), len(raw))))
+        chunks = _cut(raw, s, np.full(len(s), len(raw)))
+        docs.append((chunks, np.concatenate([_distance(chunks[a : a + BLOCK]) for a in range(0, len(chunks), BLOCK)])))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     names = ("emb", "back", "filters", "bias", "out", "out_bias")
     moments = {k: [np.zeros_like(getattr(net, k), float), np.zeros_like(getattr(net, k), float)] for k in names}
@@ -151,15 +152,18 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int | None
         rate = 0.006 * (1 - turn / rounds) + 0.0005
         for a in range(0, len(order), batch):
             ids = order[a : a + batch]
-            chunks = np.concatenate([docs[i] for i in ids])
-            row = np.repeat(np.arange(len(ids)), [len(docs[i]) for i in ids])
+            chunks, far = (np.concatenate([docs[i][j] for i in ids]) for j in (0, 1))
+            row = np.repeat(np.arange(len(ids)), [len(docs[i][0]) for i in ids])
             count = np.bincount(row)
-            win, far = _windows(net, chunks)
-            n, places, k = win.shape
-            flat = win.reshape(n * places, k)
-            r = (flat @ net.filters).reshape(n, places, FILTERS)
-            best = r.argmax(1)
-            pooled = np.maximum(np.take_along_axis(r, best[:, None], 1)[:, 0] + net.bias, 0)
+            n, places = len(chunks), (CHUNK - WIDTH) // STRIDE + 1
+            blocks = [slice(at, at + BLOCK) for at in range(0, n, BLOCK)]
+            best, pooled, flat = np.zeros((n, FILTERS), np.int64), np.zeros((n, FILTERS), np.float32), None
+            for part in blocks:
+                win = _windows(net, chunks[part], far[part])
+                flat = win.reshape(-1, win.shape[2])
+                r = (flat @ net.filters).reshape(-1, places, FILTERS)
+                best[part] = r.argmax(1)
+                pooled[part] = np.maximum(np.take_along_axis(r, best[part][:, None], 1)[:, 0] + net.bias, 0)
             first = np.r_[0, np.cumsum(count)[:-1]]
             mean, top = np.add.reduceat(pooled, first, 0) / count[:, None], np.maximum.reduceat(pooled, first, 0)
             feats = np.hstack([mean, top])
@@ -169,15 +173,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int | None
             gp = g[row, :FILTERS] / count[row, None] + g[row, FILTERS:] * (pooled == top[row])
             gp *= pooled > 0
             grads["bias"] = gp.sum(0)
-            at = (np.arange(n)[:, None] * places + best).ravel()
-            rows = flat[at].reshape(n, FILTERS, k)
-            grads["filters"] = np.einsum("nfk,nf->kf", rows, gp)
-            back = (gp[:, :, None] * net.filters.T[None]).reshape(n * FILTERS, WIDTH, EMBED)
-            where = (best[:, :, None] * STRIDE + np.arange(WIDTH)).reshape(n * FILTERS, WIDTH)
-            who = np.repeat(np.arange(n), FILTERS)[:, None]
-            for name, index in (("emb", chunks[who, where]), ("back", far[who, where])):
-                size = len(getattr(net, name))
-                grads[name] = np.stack([np.bincount(index.ravel(), back[:, :, e].ravel(), size) for e in range(EMBED)], 1)
+            grads |= {"filters": np.zeros(net.filters.shape), "emb": np.zeros(net.emb.shape), "back": np.zeros(net.back.shape)}
+            for part in blocks:
+                own, k = best[part], net.filters.shape[0]
+                if len(blocks) > 1:
+                    flat = _windows(net, chunks[part], far[part]).reshape(-1, k)
+                at = (np.arange(len(own))[:, None] * places + own).ravel()
+                grads["filters"] += np.einsum("nfk,nf->kf", flat[at].reshape(len(own), FILTERS, k), gp[part])
+                back = (gp[part][:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, EMBED)
+                where = (own[:, :, None] * STRIDE + np.arange(WIDTH)).reshape(-1, WIDTH)
+                who = np.repeat(np.arange(len(own)), FILTERS)[:, None]
+                for name, index in (("emb", chunks[part][who, where]), ("back", far[part][who, where])):
+                    size = len(getattr(net, name))
+                    grads[name] += np.stack([np.bincount(index.ravel(), back[:, :, e].ravel(), size) for e in range(EMBED)], 1)
             grads["emb"][PAD] = grads["back"][0] = 0
             step += 1
             for name in names:
@@ -193,24 +201,32 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """The bounded sample: up to ``most`` labelled rows outside the held-out fold, up to half of them of each class."""
+def training_rows(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+    """The bounded sample: up to ``most`` labelled rows outside the held-out fold, up to half of them of each class.
+
+    Of these only as many are taken, in the order of their hashed ids, as have ``size`` bytes together, at least one of
+    each class. Their texts are whole.
+    """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "quality").distinct()
-    picked = own.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
-    picked = picked.unionAll(own.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2))
-    texts = documents.select("doc_id", _sampled("text").alias("text")).join(F.broadcast(picked), "doc_id")  # at most `most` labels
-    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    own = own.withColumn("h", F.xxhash64("doc_id"))
+    picked = own.where("quality = 0").orderBy("h", "doc_id").limit(most // 2)
+    picked = picked.unionAll(own.where("quality = 1").orderBy("h", "doc_id").limit(most // 2))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(picked), "doc_id")  # at most `most` labels
+    sizes = rows.groupBy("doc_id", "quality", "h").agg(F.max("n").alias("n")).collect()
+    left, taken = {0: size // 2, 1: size // 2}, []
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if left[r.quality] >= r.n or left[r.quality] == size // 2:
+            taken.append((r.doc_id, r.quality))
+            left[r.quality] -= r.n
+        else:
+            left[r.quality] = -1
+    taken = documents.sparkSession.createDataFrame(taken, T.StructType([documents.schema["doc_id"], T.StructField("quality", T.IntegerType())]))
+    rows = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.text))
     return [r.text for r in rows], [r.quality for r in rows]
 
 
-def _sampled(col: str) -> F.Column:
-    """What the driver gets of a text to learn from: all of it up to 32 kB, else eight spread pieces of 4 kB."""
-    text = F.coalesce(F.col(col), F.lit(""))
-    pieces = [F.substring(text, (F.length(text) * i / 8).cast("int") + 1, F.lit(4096)) for i in range(8)]
-    return F.when(F.length(text) <= 32768, text).otherwise(F.concat(*pieces))
-
-
 def fit(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Network:
     return train(*training_rows(documents, labels, most))
 
