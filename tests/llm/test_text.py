@@ -527,6 +527,58 @@ def test_quality_reads_everything():
     assert quality.score_texts(quality.train(["a"], [1]), pa.array(["a", None])).tolist() == [1.0, 1.0]
 
 
+def plain_score(net, text):
+    """The network by its definition, one place at a time."""
+    import math
+
+    raw, pooled = list((text or "").encode()), []
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(raw):
+        starts.append(starts[-1] + quality.STEP)
+    for start in starts:
+        chunk = raw[start : start + quality.CHUNK]
+        chunk += [quality.PAD] * (quality.CHUNK - len(chunk))
+        seen, x = {}, []
+        for i in range(quality.CHUNK):
+            gram, level = tuple(chunk[i : i + 8]), 0
+            if len(gram) == 8:
+                if gram in seen and chunk[i] != quality.PAD:
+                    level = min(1 + int(math.log2(i - seen[gram])), quality.BACK - 1)
+                seen[gram] = i
+            x.append([float(a + b) for a, b in zip(net.emb[chunk[i]], net.back[level])])
+        most = []
+        for f in range(quality.FILTERS):
+            places = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+            hits = [sum(x[p + j][e] * float(net.filters[j * quality.EMBED + e, f]) for j in range(quality.WIDTH) for e in range(quality.EMBED)) for p in places]
+            most.append(max(0.0, max(hits) + float(net.bias[f])))
+        pooled.append(most)
+    feats = [sum(c) / len(pooled) for c in zip(*pooled)] + [max(c) for c in zip(*pooled)]
+    return 1 / (1 + math.exp(-sum(a * float(b) for a, b in zip(feats, net.out)) - net.out_bias))
+
+
+def test_quality_is_the_network(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "x1%", "##"]) for _ in range(n)) for n in (0, 1, 30, 200, 260)] + ["again and " * 90, "é" * 260]
+    net = quality.train(texts * 4, [0, 1] * 14, rounds=2)
+    want = [plain_score(net, t) for t in texts]
+    assert np.allclose(quality.score_texts(net, pa.array(texts)), want, atol=1e-5)
+    monkeypatch.setattr(quality, "BLOCK", 2)  # the same by small blocks, in training as in scoring
+    again = quality.train(texts * 4, [0, 1] * 14, rounds=2)
+    assert np.allclose(quality.score_texts(again, pa.array(texts)), want, atol=1e-3)
+
+
+def test_quality_learns_from_whole_rows(spark):
+    rows = [(i, ("good " if i % 2 else "bad ") * (20_000 if i == 7 else 50) + str(i)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    texts, y = quality.training_rows(d, labels)
+    by = dict(rows)
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(texts) == sorted(by[i] for i in free) and all((t[0] == "g") == bool(q) for t, q in zip(texts, y))
+    few, y = quality.training_rows(d, labels, most=20, size=2400)
+    assert set(few) <= set(by.values()) and 2 <= len(few) <= 20 and set(y) == {0, 1}
+
+
 def test_quality_odd_tables(spark):
     d = spark.createDataFrame([(1, "good words here"), (None, "x"), (2, None), (2, "twice")], "doc_id long, text string").withColumn("score", F.lit("mine"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
