@@ -76,10 +76,9 @@ def _windows(net: Network, chunks: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 def _pool(net: Network, chunks: np.ndarray) -> np.ndarray:
-    win = _windows(net, chunks, _distance(chunks))
-    n, places, k = win.shape
-    r = win.reshape(n * places, k) @ net.filters
-    return np.maximum(r.reshape(n, places, FILTERS).max(1) + net.bias, 0)
+    """A product for each chunk, so that its rounding does not depend on its neighbours."""
+    r = np.ascontiguousarray(_windows(net, chunks, _distance(chunks))) @ net.filters
+    return np.maximum(r.max(1) + net.bias, 0)
 
 
 def chunk_starts(length: int) -> np.ndarray:
@@ -90,7 +89,8 @@ def chunk_starts(length: int) -> np.ndarray:
 def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     at = starts[:, None] + np.arange(CHUNK)
     inside = at < ends[:, None]
-    return np.where(inside, buf[np.where(inside, at, 0)] if len(buf) else 0, PAD).astype(np.int16)
+    own = buf[np.where(inside, at, 0)].astype(np.int16) if len(buf) else np.zeros(at.shape, np.int16)  # wide enough for PAD
+    return np.where(inside, own, np.int16(PAD))
 
 
 def _sigmoid(z):
