@@ -337,9 +337,10 @@ def embedding_rows(df):
     return sorted([(r.vec_id, r.n_links, r.component_id) for r in df.collect()], key=repr)
 
 
-def test_embedding_cases(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "PER_CELL", 20)
-    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+@pytest.mark.parametrize("worth", [0.0, 2.0])
+def test_embedding_cases(spark, monkeypatch, worth):
+    for name, n in (("CHUNK", 16), ("CHUNK_BYTES", 16 * 4 * 8), ("NESTED", 4), ("WORTH", worth), ("BLOCK", 64)):
+        monkeypatch.setattr(embedding_dedup, name, n)
     rng = np.random.default_rng(5)
     rows, n = [], 0
     for _ in range(12):
@@ -361,6 +362,18 @@ def test_embedding_query(spark, sf):
     assert embedding_rows(queries.op3_embedding_dedup(spark, sf)) == brute_links(rows)
 
 
+def test_chunk_of_one_dense_group():
+    """Every pair is linked; counts come out at once, and one edge for each vector."""
+    rng = np.random.default_rng(7)
+    raw = (np.ones((900, 16)) + rng.normal(size=(900, 16)) * 0.01).astype(np.float32)
+    ids, weights = np.arange(900), np.full(900, 2)
+    chunk = embedding_dedup.Chunk(ids[:600], weights[:600], raw[:600], 0.95)
+    out = list(chunk.meet(ids[600:], weights[600:], raw[600:]))
+    assert [x.tolist() for x in out[0][:2]] == [list(range(600, 900)), [1200] * 300]
+    own, links, other = chunk.own()
+    assert sorted(own.tolist()) == list(range(600)) and set(links.tolist()) == {599 * 2 + 600} and len(set(other.tolist())) == 1
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]
