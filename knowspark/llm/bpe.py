@@ -202,7 +202,7 @@ class Encoder:
         n = len(raw)
         found = self._matches(raw) if n <= LONG else Matches(self, raw)
         open_ = bytearray([1]) * (n + 1)
-        tried = array("b", b"\xff" * n)  # -1; fewer than 128 tokens start at one place
+        tried = array("i", [-1]) * n
         at, path = 0, [(-1, 0)]
         while at < n:
             options = found[at]

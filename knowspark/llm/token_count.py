@@ -3,13 +3,19 @@
 Two deterministic transducers do the work, for BPE tokenizers with word ends (lower case, white space dropped).
 
 The first reads characters and annotates each transition with the words that start there. A text is cut into chunks of
-``CHUNK`` characters; for every chunk the map from each entry state to its exit state is found, all chunks at once, the
-maps are composed by a parallel prefix scan, and with the entry states so known the chunks' annotations are read off.
+``CHUNK`` characters; for every chunk the map from each entry state to its exit state is found, all chunks at once, and
+the maps are composed by a parallel prefix scan. With the entry states so known a chunk's transitions emit their words,
+and a word's transition emits its number of tokens, by the second transducer: that completes a chunk's map to (exit state,
+tokens emitted). Emitted tokens compose by addition, in a second scan, from which each text's count is read off.
 
 The second reads the bytes of one word and annotates each transition with the change in the number of tokens. Its state
 is what the merges have made of the bytes so far: the last token of each prefix. Reading a byte, the new last token is
 the one token ending there that its left neighbour accepts (merging both together gives just those two). States are
-compiled when first met, up to ``STATES``; beyond that a word's own states are made and dropped.
+compiled when first met; when there are ``STATES`` of them, they are dropped and compiled anew as they are met.
+
+The transducers are those of one pre-tokenising pattern; a file with any other pattern is refused. Texts are normalised
+as the tokenizer library does it: by its own normaliser, where a text has a character that Python's Unicode tables treat
+differently or do not know.
 
 Defined results: null and empty texts have no bytes and no tokens; ids may be null or repeated; an empty table gives an
 empty result; special strings inside a text are one token each; very long texts are worked off in pieces cut at spaces.
@@ -44,6 +50,11 @@ FREE, WORD, OTHERS, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
 HERE, BEFORE = 1, 2  # a word starts at this character; at the one before it
 
 
+#: The patterns of the tokenizer file that the transducers are made for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BLANKS = (r"\s+", " ")
+
+
 def _compile() -> tuple[np.ndarray, np.ndarray]:
     """Tables of next state and annotation by class and state, for
     's | 't | 're | 've | 'm | 'll | 'd | letters | number | others; the first that fits wins."""
@@ -133,7 +144,6 @@ class CountTransducer:
         self.known: dict[bytes, int] = {}
         self.next: dict[tuple[int, str], int] = {}
         self.states: list[tuple[str, int]] = [("", 0)]  # last token and count of a prefix
-        self.parents: list[tuple[int, ...]] = [(0,)]  # states of all its prefixes, the empty one first
 
     def merged(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
@@ -183,11 +193,15 @@ class CountTransducer:
                 break
             at, i = to, i + 1
             prefixes.append(self.states[at])
-        compiling = True
+        compiling = i < n - 1
+        if compiling and len(self.states) > STATES:  # start anew; this word's states are not linked to the first
+            del self.states[1:]
+            self.next.clear()
+            compiling = False
         while i < n - 1:
             i += 1
             prefixes.append(self._read(word, i, prefixes, False))
-            if compiling := compiling and len(self.states) < STATES:
+            if compiling:
                 self.states.append(prefixes[-1])
                 self.next[at, word[i - 1]] = at = len(self.states) - 1
             if len(prefixes) > 4 * self.longest + 1000:  # no token reaches further back
@@ -200,16 +214,48 @@ class CountTransducer:
         return out
 
 
+@lru_cache(1)
+def unlike() -> re.Pattern:
+    """The characters that Python normalises unlike the tokenizer library, or does not know."""
+    from tokenizers import normalizers
+
+    lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    odd = []
+    for a in range(0x80, 0x110000, 4096):
+        chars = [chr(c) for c in range(a, min(a + 4096, 0x110000)) if not 0xD800 <= c < 0xE000]
+        for c, own in zip(chars, lower.normalize_str("|".join(chars)).split("|")):
+            if own != unicodedata.normalize("NFC", c).replace("Σ", "σ").lower() or unicodedata.category(c) == "Cn":
+                odd.append(ord(c))
+    edges = [i for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1] + [len(odd)]
+    return re.compile("[" + "".join(f"{re.escape(chr(odd[a]))}-{re.escape(chr(odd[z - 1]))}" for a, z in zip(edges, edges[1:])) + "]")
+
+
+def emitted_before(places: np.ndarray, tokens: np.ndarray, n: int, edges: np.ndarray) -> np.ndarray:
+    """Tokens emitted before each edge, given those that transitions at some places of n emit: by chunks and their scan."""
+    said = np.zeros(-(-n // CHUNK) * CHUNK + CHUNK, np.int32)
+    said[places] = tokens
+    within = np.cumsum(said.reshape(-1, CHUNK), axis=1)
+    before = np.r_[0, np.cumsum(within[:, -1], dtype=np.int64)]  # the scan of all chunks' emissions
+    chunk, at = np.divmod(edges, CHUNK)
+    return before[chunk] + np.where(at > 0, within[chunk, at - 1], 0)
+
+
 class Counter:
     """Counts for a tokenizers .json of this kind; it refuses one that asks for anything else."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, normal, pre = spec["model"], spec["normalizer"], spec["pre_tokenizer"]
         kinds = [x["type"] for x in normal["normalizers"]], [x["type"] for x in pre["pretokenizers"]]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != CountTransducer.END or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError("not a lower-case BPE with word ends")
+        blanks, split = normal["normalizers"][1], pre["pretokenizers"][0]
+        if (blanks["pattern"], blanks["content"]) != ({"Regex": BLANKS[0]}, BLANKS[1]) or split["pattern"] != {"Regex": SPLIT} or split["behavior"] != "Removed" or not split["invert"]:
+            raise ValueError("no transducer for these patterns")
+        self.library = Tokenizer.from_file(path).normalizer
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.words = CountTransducer(merges, model["vocab"])
         names = [t["content"] for t in spec["added_tokens"]]
@@ -221,6 +267,8 @@ class Counter:
         if self.special and "<|" in text:
             text, found = self.special.subn("\n", text)
         if not text.isascii():
+            if unlike().search(text):
+                return self.library.normalize_str(text), found
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without a final sigma
         return text.lower(), found
 
@@ -268,9 +316,8 @@ class Counter:
             tokens = np.fromiter((0 if p[:1].isspace() or not p else own.count(p) for p in distinct), np.int64, len(distinct))
             each = tokens[number]
             each[space[bounds]] = 0
-            total = np.r_[0, np.cumsum(each)]
-            edge = np.searchsorted(bounds, np.r_[first, len(cp)])
-            np.add.at(counts, rows, total[edge[1:]] - total[edge[:-1]])
+            total = emitted_before(bounds, each, len(cp), np.r_[first, len(cp)])
+            np.add.at(counts, rows, np.diff(total))
         return counts
 
 
