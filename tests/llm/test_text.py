@@ -99,6 +99,57 @@ def test_counts_query(spark, sf):
     assert token_count.count_tokens(df.limit(0), WORDS).count() == 0
 
 
+def test_every_character():
+    """Each code point between letters, as the library counts it."""
+    from tokenizers import Tokenizer
+
+    alike = (range(0x3400, 0xA000), range(0xAC00, 0xF900), range(0x17000, 0x19000), range(0x20000, 0x110000))  # ideographs, syllables, private use
+    texts = [f"a{chr(c)}b{chr(c)}" for c in range(1, 0x20000) if not any(c in r for r in alike)]
+    want = [len(e.ids) for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    got = token_count.counter(WORDS).count(texts)
+    assert [hex(ord(t[1])) for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_counts_with_few_states(monkeypatch, spark, sf):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_count, "STATES", 40)
+    texts = samples(200) + documents(spark, sf)[:60]
+    want = [len(e.ids) for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    own = token_count.Counter(WORDS)
+    assert own.count(texts).tolist() == want and own.count(texts[::-1]).tolist() == want[::-1]
+
+
+def test_another_pattern_is_refused(tmp_path):
+    import json
+
+    with open(WORDS) as f:
+        spec = json.load(f)
+    for change in (lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\w+"), lambda s: s["normalizer"]["normalizers"][1].update(content="_")):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        (tmp_path / "t.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError, match="patterns"):
+            token_count.Counter(str(tmp_path / "t.json"))
+
+
+def test_count_tables(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "A\ua7cbb \ua7dc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("mine")).withColumn("over_limit", F.lit("mine"))
+    from tokenizers import Tokenizer
+
+    last = len(Tokenizer.from_file(WORDS).encode(rows[2][1], add_special_tokens=False).ids)
+    assert sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(df, WORDS).collect()) == [(1, 2), (1, 2), (2, last)]
+
+
+def test_many_tokens_start_at_one_place():
+    """200 of them, of which the shortest fits."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"a" + bytes(range(1, n)): 300 - n for n in range(2, 202)}
+    e = bpe.Encoder(ranks)
+    assert len(e._matches(b"a" + bytes(range(1, 201)))[0]) == 201
+    assert e.piece(b"a" + bytes(range(1, 201)) + b"!")[-1] == 33
+
+
 def test_words_match_split(monkeypatch):
     for piece in (1 << 20, 16):
         monkeypatch.setattr(words, "PIECE", piece)
