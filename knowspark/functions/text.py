@@ -77,19 +77,19 @@ def dates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
 
 
-#: Words that open an order, and words of duty.
-IMPERATIVES = ("always", "never", "ignore", "delete", "remove", "send", "run", "execute", "use", "do", "follow", "ensure", "make", "stop", "forget")
-DUTIES = ("must", "shall", "should", "required to", "have to", "need to")
-#: Phrases that try to take over a reader that follows instructions.
-INJECTIONS = (
-    "ignore previous instructions", "ignore all previous", "disregard the above", "you are now", "system prompt",
-    "reveal your instructions", "act as an administrator", "do not tell the user",
+# Markers of duty, verbs that open an order, and phrases that try to take over a reader of instructions.
+DUTIES = ("must", "shall", "should", "must not", "shall not")
+IMPERATIVES = (
+    "run", "use", "never", "always", "ensure", "check", "avoid", "prefer", "set", "add", "install", "configure", "create", "delete", "update", "write", "read",
+    "open", "close", "start", "stop", "build", "test", "deploy", "commit", "push", "pull", "merge", "rebase",
 )
+INJECTIONS = ("ignore previous", "ignore all", "disregard", "you are now", "new instructions", "system prompt", "override", "bypass")
 
 
 def is_instruction(text: Column) -> Column:
-    low = F.lower(F.trim(text))
-    return low.rlike(r"\b(?:" + "|".join(DUTIES) + r")\b") | low.rlike(r"^(?:" + "|".join(IMPERATIVES) + r")\b")
+    """Whether a duty opens the text or follows a space in it, or an imperative opens it."""
+    low = F.regexp_replace(F.lower(text), r"^\s+", "")
+    return reduce(lambda a, b: a | b, [low.startswith(w) for w in DUTIES + IMPERATIVES] + [low.contains(f" {w}") for w in DUTIES])
 
 
 def is_injection(text: Column) -> Column:
@@ -118,15 +118,30 @@ def redact(text: Column) -> Column:
     return text
 
 
+def space_words(text: Column) -> Column:
+    """The runs of characters other than white space, in order."""
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+def space_jaccard(a: Column, b: Column, empty: float) -> Column:
+    """Of the sets of two texts' space-separated words; ``empty`` where both have none."""
+    x, y = F.array_distinct(space_words(a)), F.array_distinct(space_words(b))
+    both = F.size(F.array_intersect(x, y))
+    total = F.size(x) + F.size(y) - both
+    return F.when(total == 0, empty).otherwise(both / total)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal names, 0.95 for equal normalised ones, then containment, shared tokens, 0.5 for a shared start, 0."""
-    x, y = normalize_name(a), normalize_name(b)
+    """1 for equal names, 0.95 but for case, containment by length; of names of several words 0.7 of the share of common
+    ones; 0.5 where one name is a single word of the other; else 0."""
+    x, y = F.lower(a), F.lower(b)
     short, long_ = F.least(F.octet_length(x), F.octet_length(y)), F.greatest(F.octet_length(x), F.octet_length(y))
-    shared = jaccard(tokens(x), tokens(y))
-    inside = (x != "") & (y != "") & (x.contains(y) | y.contains(x))
+    u, v = space_words(x), space_words(y)
+    shared = F.size(F.filter(u, lambda w: F.array_contains(v, w)))
+    several = (F.size(u) >= 2) & (F.size(v) >= 2)
     return (
-        F.when(a == b, 1.0).when(x == y, 0.95).when(inside, 0.8 * short / long_ + 0.1).when(shared > 0, 0.7 * shared)
-        .when((F.substring(x, 1, 4) == F.substring(y, 1, 4)) & (F.length(x) >= 4), 0.5).otherwise(0.0)
+        F.when(a == b, 1.0).when(x == y, 0.95).when(x.contains(y) | y.contains(x), 0.8 * short / long_ + 0.1)
+        .when(several & (shared > 0), 0.7 * shared / (F.size(u) + F.size(v) - shared)).when(~several & (shared > 0), 0.5).otherwise(0.0)
     )
 
 

@@ -96,8 +96,8 @@ class Checker:
                 left = left * right
             else:
                 whole = kind == other == "int"
-                quotient = left.cast("double") / F.when(right != 0, right)
-                left = quotient.cast("bigint") if whole else quotient
+                divisor = F.when(right != 0, right)
+                left = F.call_function("div", left.cast("bigint"), divisor.cast("bigint")) if whole else left.cast("double") / divisor
             kind = "int" if kind == other == "int" else "float"
         return left, kind
 
@@ -159,7 +159,7 @@ def check(df: DataFrame, source: str) -> Column:
     return F.coalesce(Checker(source, df).parse(), F.lit(False))
 
 
-# Formats of a text: rules that the SQL oracle's regular expressions share.
+# Formats of a text, in syntax that the SQL oracle's regular expressions share.
 FORMATS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "url": r"^https?://[^\s/]+",

@@ -33,21 +33,22 @@ DIMENSIONS = 128
 
 
 def trigram_vector(text: str | None) -> list[float]:
-    """Counts of character trigrams, padded by two spaces, by a 64-bit djb2 hash modulo 128, to length 1."""
+    """Counts of character trigrams of the lower-case text, padded by two spaces, by a 64-bit djb2 hash modulo 128, to
+    length 1; nothing for a text whose letters and digits have fewer than two bytes."""
     import math
 
-    low = "".join(c for c in (text or "").lower() if c.isalnum() or c.isspace())
     out = [0.0] * DIMENSIONS
-    if sum(c.isalnum() for c in low) < 2:
+    text = text or ""
+    if len("".join(c for c in text if c.isalnum()).encode("utf-8", "surrogatepass")) < 2:
         return out
-    padded = f"  {low}  "
+    padded = f"  {text.lower()}  "
     for i in range(len(padded) - 2):
         h = 5381
-        for byte in padded[i : i + 3].encode():
+        for byte in padded[i : i + 3].encode("utf-8", "surrogatepass"):
             h = (h * 33 + byte) & (1 << 64) - 1
         out[h % DIMENSIONS] += 1
     size = math.sqrt(sum(x * x for x in out))
-    return [x / size for x in out] if size else out
+    return [x / size for x in out]
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -53,11 +53,22 @@ def duplicates(df: DataFrame, columns: Sequence[str], scope: Sequence[Column] =
     return full.groupBy(*scope, *columns).agg(F.count(F.lit(1)).alias("objects")).where("objects > 1")
 
 
-def unique_violations(stored: DataFrame, batch: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of a batch whose key another row of the batch, or a stored object, has."""
-    twice = duplicates(batch, columns).select(*columns)
-    taken = stored.select(*columns).distinct()
-    return batch.join(twice, list(columns), "left_semi").unionByName(batch.join(taken, list(columns), "left_semi")).distinct()
+def unique_violations(stored: DataFrame, batch: DataFrame, columns: Sequence[str], id_col: str | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Rows of a batch whose key another object has, in the batch or stored.
+
+    With ``id_col`` a row does not clash with the stored version of its own object, nor with other rows of it in the
+    batch. ``scope`` names columns that must be equal too: the type's and the tenant's, the type's alone, or, for a key
+    that is unique globally, none.
+    """
+    keys = [*scope, *columns]
+    if id_col is None:
+        twice = duplicates(batch, keys).select(*keys)
+        taken = stored.select(*keys).distinct()
+        return batch.join(twice, keys, "left_semi").unionByName(batch.join(taken, keys, "left_semi")).distinct()
+    every = batch.select(*keys, id_col).unionByName(stored.select(*keys, id_col))
+    every = every.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys]))
+    taken = every.groupBy(*keys).agg(F.min(id_col).alias("_least"), F.max(id_col).alias("_most")).where("_least <> _most")
+    return batch.join(taken.select(*keys), keys, "left_semi")
 
 
 def relationship_violations(edges: DataFrame, objects: DataFrame, ontology: Ontology, strict: bool = True) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-NEGATIONS = (("must", "must not"), ("should", "should not"), ("can", "cannot"), ("is", "is not"), ("does", "does not"), ("enabled", "disabled"), ("required", "optional"), ("allowed", "forbidden"))
+# Phrases and what negates them, and words of which only one of two contradicting statements has one.
+NEGATIONS = (("must", "must not"), ("shall", "shall not"), ("should", "should not"), ("always", "never"), ("required", "optional"), ("enabled", "disabled"), ("sync", "async"))
+CONTRARIES = ("not ", "no longer", "instead of", "rather than")
 
 
 def facts_of(facts: DataFrame, name: str) -> DataFrame:
@@ -59,31 +61,45 @@ def trace_requirement(requirement: str, facts: DataFrame, relations: DataFrame,
 
 
 def fact_pairs(facts: DataFrame) -> DataFrame:
-    """Pairs of facts about one entity, each pair once per entity, with the similarity of their words."""
-    own = by_entity(facts).select("entity", "fact", "statement", "confidence", tx.tokens(F.col("statement")).alias("w"))
+    """Pairs of facts about one entity, each pair once per entity."""
+    own = by_entity(facts).select("entity", "fact", "statement", "confidence")
     pairs = own.alias("a").join(own.alias("b"), (F.col("a.entity") == F.col("b.entity")) & (F.col("a.fact") < F.col("b.fact")))
     return pairs.select(
         F.col("a.entity").alias("entity"), F.col("a.fact").alias("a"), F.col("b.fact").alias("b"), F.col("a.statement").alias("sa"), F.col("b.statement").alias("sb"),
-        F.col("a.confidence").alias("ca"), F.col("b.confidence").alias("cb"), tx.jaccard(F.col("a.w"), F.col("b.w")).alias("similarity"),
+        F.col("a.confidence").alias("ca"), F.col("b.confidence").alias("cb"),
     )
 
 
 def negates(a: Column, b: Column) -> Column:
-    """Whether one statement has the plain and the other the negated form of one phrase."""
+    """Whether one statement has a phrase, the other its negation, and what is left is of one topic."""
     x, y = F.lower(a), F.lower(b)
     out = F.lit(False)
     for plain, negated in NEGATIONS:
-        says = lambda t, p: t.rlike(rf"\b{p}\b")
-        only = lambda t, p=plain, n=negated: says(t, p) & ~says(t, n)
-        out = out | (only(x) & says(y, negated)) | (only(y) & says(x, negated))
+        for p, q in ((plain, negated), (negated, plain)):
+            topic = tx.space_jaccard(F.replace(x, F.lit(p), F.lit("")), F.replace(y, F.lit(q), F.lit("")), 1.0)
+            out = out | (x.contains(p) & y.contains(q) & (topic > 0.4))
     return out
 
 
+def contradicts(a: Column, b: Column) -> Column:
+    """Whether only one of two statements has a contrary, or both say that different things are used."""
+    x, y = F.lower(a), F.lower(b)
+    out = F.lit(False)
+    for word in CONTRARIES:
+        out = out | (x.contains(word) != y.contains(word))
+    used = lambda t: F.trim(F.get(F.split(t, "uses"), F.lit(1)))
+    both = x.contains("uses") & y.contains("uses") & (used(x) != "") & (used(y) != "") & (used(x) != used(y))
+    return out | F.coalesce(both, F.lit(False))
+
+
 def find_conflicts(facts: DataFrame) -> DataFrame:
-    """(entity, a, b, kind): statements on one topic that negate each other, or say nearly the same in other words."""
-    pairs = fact_pairs(facts)
-    kind = F.when(negates(F.col("sa"), F.col("sb")) & (F.col("similarity") > 0.4), "conflict").when((F.col("similarity") > 0.7) & (F.col("similarity") < 0.95), "ambiguous")
-    return pairs.withColumn("kind", kind).where("kind is not null").select("entity", "a", "b", "kind")
+    """(entity, a, b, kind): statements on one topic that negate each other, and such as say nearly the same in other words.
+
+    A pair may be both.
+    """
+    near = tx.space_jaccard(F.col("sa"), F.col("sb"), 1.0)
+    kinds = F.array(F.when(negates(F.col("sa"), F.col("sb")), "conflict"), F.when((near > 0.7) & (near < 0.95), "ambiguous"))
+    return fact_pairs(facts).select("entity", "a", "b", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
 
 
 def find_stale(documented: DataFrame, coded: DataFrame) -> DataFrame:
@@ -103,9 +119,10 @@ def uncorroborated(documented: DataFrame, coded: DataFrame, most: float = 0.3) -
 
 def detect_staleness(facts: DataFrame, most: float = 0.85) -> DataFrame:
     """(entity, stale, current, kind) of differing facts on one entity: the surer one is current."""
-    pairs = fact_pairs(facts).where(F.col("similarity") <= most)
+    low = F.lower("sa"), F.lower("sb")
+    pairs = fact_pairs(facts).where((low[0] != low[1]) & (tx.space_jaccard(*low, 0.0) <= most))
     first = F.col("ca") >= F.col("cb")
-    kind = F.when(negates(F.col("sa"), F.col("sb")), "conflict").otherwise("divergence")
+    kind = F.when(contradicts(F.col("sa"), F.col("sb")), "conflict").otherwise("divergence")
     return pairs.select("entity", F.when(first, F.col("b")).otherwise(F.col("a")).alias("stale"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("current"), kind.alias("kind"))
 
 
@@ -132,8 +149,8 @@ STEPS: Mapping[str, Sequence[str]] = {"PROPOSED": ("VALIDATED", "REJECTED"), "VA
 
 
 def propose(conflicts: DataFrame) -> DataFrame:
-    """A proposal for each conflict (entity, a, b, kind)."""
-    pid = F.substring(F.sha2(F.concat_ws("|", "entity", "a", "b"), 256), 1, 16)
+    """A proposal for each conflict (entity, a, b, kind); a pair of two kinds has two."""
+    pid = F.substring(F.sha2(F.concat_ws("|", "entity", "a", "b", "kind"), 256), 1, 16)
     return conflicts.select(pid.alias("proposal"), "entity", "a", "b", F.when(F.col("kind") == "conflict", "supersede").otherwise("merge").alias("action"), F.lit("PROPOSED").alias("status"))
 
 

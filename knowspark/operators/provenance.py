@@ -22,22 +22,25 @@ def own_hash(prev: Column | None = None) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]), 256)
 
 
-def chain(journal: DataFrame) -> DataFrame:
-    """The journal with prev_hash and own_hash built, object by object in the order of seq."""
-    cols = [c for c in journal.columns if c not in ("prev_hash", "own_hash")]
+def chain(journal: DataFrame, start: str | None = None) -> DataFrame:
+    """The journal with prev_hash and own_hash built, object by object in the order of seq.
+
+    Column ``start`` holds the hash before an object's first row here; without it chains begin.
+    """
+    cols = [c for c in journal.columns if c not in ("prev_hash", "own_hash", start)]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq").reset_index(drop=True)
-        prev, before, own = GENESIS, [], []
+        prev, before, own = rows[start][0] if start else GENESIS, [], []
         text = {n: ["-" if pd.isna(x) else str(x) for x in rows[n]] if n in rows else ["-"] * len(rows) for n in FIELDS[1:]}
         for i in range(len(rows)):
             before.append(prev)
             prev = hashlib.sha256("|".join([prev, *(text[n][i] for n in FIELDS[1:])]).encode()).hexdigest()
             own.append(prev)
-        return rows.assign(prev_hash=before, own_hash=own)
+        return rows[cols].assign(prev_hash=before, own_hash=own)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in journal.select(*cols).schema) + ", prev_hash string, own_hash string"
-    return journal.select(*cols).groupBy("koid").applyInPandas(fold, schema)
+    return journal.select(*cols, *([start] if start else [])).groupBy("koid").applyInPandas(fold, schema)
 
 
 def prove(journal: DataFrame, payloads: DataFrame | None = None) -> DataFrame:

@@ -24,9 +24,8 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def name_blocks(name: Column) -> Column:
-    """Keys on which similar names meet: each word, and the first four letters of the whole."""
-    n = tx.normalize_name(name)
-    return F.array_distinct(F.concat(tx.tokens(n), F.array(F.concat(F.lit("^"), F.substring(n, 1, 4)))))
+    """Keys on which similar names meet: each word."""
+    return F.array_distinct(tx.space_words(F.lower(name)))
 
 
 GRAMS = (1, 2, 4, 8)
@@ -59,8 +58,8 @@ def _decide(scored: DataFrame, least: float, gap: float, key: str) -> DataFrame:
 def resolve_names(mentions: DataFrame, known: DataFrame, least: float = NAME_LEAST, gap: float = NAME_GAP) -> DataFrame:
     """(mention, candidate, score, verdict) of mentions (mention, name, type_hint) against known (koid, name, type_hint).
 
-    Names meet on shared words or a shared start, and where one lies within the other, also inside a word: every pair
-    with a name similarity above 0.
+    Names meet on shared words, and where one lies within the other, also inside a word: every pair with a name
+    similarity above 0, but that an empty name is within none.
     """
     m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), F.explode(name_blocks(F.col("name"))).alias("b"))
     k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), F.explode(name_blocks(F.col("name"))).alias("b"))
@@ -70,9 +69,9 @@ def resolve_names(mentions: DataFrame, known: DataFrame, least: float = NAME_LEA
 
 
 def _inside(mentions: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (b, mention, mn, mt, candidate, kn, kt) of which one normalised name contains the other."""
-    m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), tx.normalize_name(F.col("name")).alias("x")).where("x <> ''")
-    k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), tx.normalize_name(F.col("name")).alias("y")).where("y <> ''")
+    """Pairs (b, mention, mn, mt, candidate, kn, kt) of which one lower-case name contains the other."""
+    m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), F.lower("name").alias("x")).where("x <> ''")
+    k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), F.lower("name").alias("y")).where("y <> ''")
     x, y = F.col("x"), F.col("y")
     around = m.withColumn("b", F.explode(_pieces(x))).join(k.withColumn("b", _start(y)), "b").where(x.contains(y))
     within = m.withColumn("b", _start(x)).join(k.withColumn("b", F.explode(_pieces(y))), "b").where(y.contains(x))

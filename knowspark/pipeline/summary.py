@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cue words of each bucket; a sentence may be in several, and is a fact where it is in none.
+# Cue words of each bucket; a sentence may be in several, and is a fact where it is in none.
 CUES = {
-    "decisions": ("decided", "we will", "agreed", "chose", "let's go with", "decision"),
-    "actions": ("todo", "action item", "need to", "please", "assigned to", "follow up", "next step"),
-    "constraints": ("must not", "cannot", "limit", "deadline", "only if", "constraint"),
-    "outcomes": ("done", "completed", "fixed", "resolved", "shipped", "works now"),
+    "decisions": ("decided", "decide", "decision", "agreed", "agree", "we will", "we'll", "plan to", "chose", "choose"),
+    "actions": ("todo", "action item", "next step", "will do", "assigned"),
     "open_issues": ("open:", "unresolved", "question:"),
+    "constraints": ("must", "never", "always", "cannot", "can't", "should not", "required"),
+    "outcomes": ("done", "finished", "completed", "resolved", "shipped", "passed", "result"),
 }
 
 
@@ -42,3 +42,16 @@ def bucketed(turns: DataFrame) -> DataFrame:
 
 def bucket_counts(turns: DataFrame) -> DataFrame:
     return bucketed(turns).groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("sentences"))
+
+
+def entities(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, entity): runs of capitalised words of letters that do not open a sentence."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = F.transform(F.split(text, r"(?<=[.!?])"), lambda s: F.concat_ws(" ", F.transform(F.filter(F.split(F.regexp_replace(s, r"[.!?]+$", ""), r"\s+"), lambda w: w != ""), _capital)))
+    runs = F.regexp_extract_all(F.concat_ws(" | ", marked), F.lit(r"\+\S+(?: \+\S+)*"), F.lit(0))
+    return turns.select("conv_id", "turn", F.explode(F.transform(runs, lambda r: F.replace(r, F.lit("+"), F.lit("")))).alias("entity"))
+
+
+def _capital(word: Column, place: Column) -> Column:
+    """A capitalised word marked by a plus sign, any other as a dash."""
+    return F.when((place > 0) & word.rlike(r"^\p{Lu}\p{L}+$"), F.concat(F.lit("+"), word)).otherwise("-")

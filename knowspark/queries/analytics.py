@@ -79,6 +79,6 @@ def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sessions(tb.table(spark, sf_dir, "events"), "2 hours", "user_id")
 
 
-@query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW) <= 2 AS allowed FROM events""")
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 1800000000 ORDER BY ts, event_id) <= 2 AS allowed FROM events")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.rate_limited(tb.table(spark, sf_dir, "events"), 2, "event_type", seconds=1800).select("event_id", "allowed")
+    return windows.rate_limited(tb.table(spark, sf_dir, "events"), 2, "event_type", seconds=1800, tie="event_id").select("event_id", "allowed")

@@ -60,7 +60,7 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, regexp_matches(lower(trim(text)), '\\b(?:" + "|".join(tx.DUTIES) + ")\\b') OR regexp_matches(lower(trim(text)), '^(?:" + "|".join(tx.IMPERATIVES) + ")\\b') AS instruction, "
+    "SELECT doc_id, " + " OR ".join([f"starts_with(regexp_replace(lower(text), '^\\s+', ''), '{w}')" for w in tx.DUTIES + tx.IMPERATIVES] + [f"contains(lower(text), ' {w}')" for w in tx.DUTIES]) + " AS instruction, "
     + " OR ".join(f"contains(lower(text), '{p}')" for p in tx.INJECTIONS) + " AS injection FROM documents"
 )
 def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,17 +163,20 @@ def experience_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "koid").limit(15)
 
 
+_BODY_SQL = r"regexp_replace(regexp_replace(coalesce(text, ''), '(?s)(^|\n)#.*$', '\1'), '^\s+|\s+$', '', 'g')"
+
+
 @query(
-    """SELECT doc_id AS id, 'Decision' AS section, 'take ' || source AS body FROM documents WHERE lang = 'en'
-       UNION ALL SELECT doc_id, 'Status', 'accepted' FROM documents WHERE lang = 'en'"""
+    f"""SELECT doc_id AS id, 'Decision' AS section, sha256('take ' || source) AS body FROM documents UNION ALL SELECT doc_id, 'Status', sha256('accepted in ' || lang) FROM documents
+        UNION ALL SELECT doc_id, 'Context', sha256({_BODY_SQL}) FROM documents WHERE {_BODY_SQL} <> ''"""
 )
 def explain_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision records written from the documents' columns."""
+    """Decision records: a document's text is the context, its other columns the status and the decision."""
     from ..operators.knowledge import explain_decision as sections
 
-    d = tb.table(spark, sf_dir, "documents").where("lang = 'en'")
-    record = F.concat(F.lit("# Record\n\n## Status\naccepted\n\n## Decision\n\ntake "), F.col("source"), F.lit("\n\n## Context\n"))
-    return sections(d, record, F.col("doc_id"))
+    d = tb.table(spark, sf_dir, "documents")
+    record = F.concat(F.lit("# Record\n\n## Status\naccepted in "), "lang", F.lit("\n\n## Decision\n\ntake "), "source", F.lit("\n\n## Context\n"), F.coalesce("text", F.lit("")))
+    return sections(d, record, F.col("doc_id")).withColumn("body", F.sha2(F.col("body").cast("binary"), 256))
 
 
 @query(

@@ -286,30 +286,22 @@ def traverse_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {EDGES_SQL}, base AS (SELECT src, dst FROM edges WHERE src NOT LIKE 'order%' AND src NOT LIKE 'customer%'),
+    f"""WITH RECURSIVE {EDGES_SQL}, base AS (SELECT src, dst FROM edges),
         c AS (SELECT src, dst, 1 AS depth FROM base UNION ALL SELECT c.src, base.dst, depth + 1 FROM c JOIN base ON c.dst = base.src)
         SELECT src, dst, min(depth) AS depth FROM c GROUP BY src, dst"""
 )
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tb.edges(spark, sf_dir).where(~F.col("src").startswith("order") & ~F.col("src").startswith("customer"))
-    return graph.closure(own)
-
-
-@query()
-def closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all edges; the SQL of ``closure`` leaves out those of orders and customers."""
     return graph.closure(tb.edges(spark, sf_dir))
 
 
 @query(
-    f"""WITH {EDGES_SQL}, s AS (SELECT src AS a, rel_type, dst AS b FROM edges WHERE src LIKE 'nation%' UNION ALL SELECT dst, rel_type, src FROM edges WHERE src LIKE 'nation%'),
+    f"""WITH {EDGES_SQL}, s AS (SELECT src AS a, rel_type, dst AS b FROM edges UNION ALL SELECT dst, rel_type, src FROM edges),
         p1 AS (SELECT [a, b] AS path, [rel_type] AS relations FROM s WHERE a = 'nation/3'),
         p2 AS (SELECT list_append(path, b) AS path, list_append(relations, rel_type) AS relations FROM p1 JOIN s ON path[-1] = a WHERE NOT list_contains(path, b))
         SELECT array_to_string(path, '>') AS path, len(relations)::INTEGER AS steps FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
 )
 def expand_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tb.edges(spark, sf_dir).where(F.col("src").startswith("nation"))
-    out = graph.paths(own, "nation/3", 2)
+    out = graph.paths(tb.edges(spark, sf_dir), "nation/3", 2)
     return out.select(F.concat_ws(">", "path").alias("path"), F.size("relations").alias("steps"))
 
 

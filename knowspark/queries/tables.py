@@ -151,13 +151,13 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     rows = c.groupBy("n_name", "c_mktsegment").agg(F.avg("c_acctbal").alias("bal"))
     low = F.lower(F.col("c_mktsegment"))
-    text = F.concat(F.lit("market "), low, F.lit(" of "), F.lower("n_name"), F.when(F.col("bal") > 4500, " is open").otherwise(" is not open"))
+    text = F.concat(F.lit("market "), low, F.lit(" of "), F.lower("n_name"), F.when(F.col("bal") > 4500, " must open").otherwise(" must not open"))
     return rows.select(F.concat_ws("/", "n_name", "c_mktsegment").alias("fact"), text.alias("statement"), F.array("n_name").alias("entities"), F.round(F.col("bal") / 10000, 4).alias("confidence"))
 
 
 STATEMENTS_SQL = """facts AS (
   SELECT n_name || '/' || c_mktsegment AS fact, n_name AS entity, round(avg(c_acctbal) / 10000, 4) AS confidence,
-         'market ' || lower(c_mktsegment) || ' of ' || lower(n_name) || CASE WHEN avg(c_acctbal) > 4500 THEN ' is open' ELSE ' is not open' END AS statement
+         'market ' || lower(c_mktsegment) || ' of ' || lower(n_name) || CASE WHEN avg(c_acctbal) > 4500 THEN ' must open' ELSE ' must not open' END AS statement
   FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment)"""
 
 
@@ -167,3 +167,13 @@ def tokens_sql(text: str) -> str:
 
 def jaccard_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
+
+def space_words_sql(text: str) -> str:
+    return rf"list_filter(string_split_regex({text}, '\s+'), lambda x: x <> '')"
+
+
+def space_jaccard_sql(a: str, b: str, empty: float) -> str:
+    x, y = f"list_distinct({space_words_sql(a)})", f"list_distinct({space_words_sql(b)})"
+    both = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN {empty} ELSE {both}::DOUBLE / (len({x}) + len({y}) - {both}) END"

@@ -66,7 +66,10 @@ class Store:
         new = numbered(rows.select("koid", "version", "origin", payload(rows).alias("payload_hash")), "seq", "koid", "version")
         new = new.withColumn("seq", F.col("seq") + top).join(last, "koid", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(provenance.GENESIS)))
         new = new.select("*", F.lit(kind).alias("kind"), F.lit(actor).alias("actor"), F.lit(at).cast("long").alias("ts"), F.lit(None).cast("string").alias("signature"), F.lit(note).cast("string").alias("note"))
-        new = new.withColumn("own_hash", provenance.own_hash())
+        several = new.groupBy("koid").agg((F.count(F.lit(1)) > 1).alias("_several"))  # such a chain goes on within this append
+        new = new.join(several, "koid")
+        one = new.where("not _several").drop("_several").withColumn("own_hash", provenance.own_hash())
+        new = one.unionByName(provenance.chain(new.where("_several").drop("_several").withColumnRenamed("prev_hash", "_start"), "_start"))
         new.select(*[c.split()[0] for c in JOURNAL.split(", ")]).write.mode("append").parquet(f"{self.path}/journal")
         rows.unpersist()
 

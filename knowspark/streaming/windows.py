@@ -29,11 +29,16 @@ def sessions(events: DataFrame, gap: str, key: str, ts: str = "ts", late: str |
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def rate_limited(events: DataFrame, most: int, key: str, ts: str = "ts", seconds: int = 60) -> DataFrame:
-    """Events with ``allowed``: whether the key had fewer than ``most`` events in the window before, itself not counted."""
+def rate_limited(events: DataFrame, most: int, key: str, ts: str = "ts", seconds: int = 60, tie: str | None = None) -> DataFrame:
+    """Events with ``allowed``: whether they are among the key's first ``most`` in their window.
+
+    Windows of ``seconds`` start at whole multiples of it since 1970; every event counts, refused ones too. Within one
+    second ``tie`` gives the order.
+    """
     from pyspark.sql import Window
 
     at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    before = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds + 1, 0)
-    rows = events.withColumn("_at", at)
-    return rows.withColumn("allowed", F.count(F.lit(1)).over(before) <= most).drop("_at")
+    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
+    so_far = Window.partitionBy(key, "_window").orderBy(*order)
+    rows = events.withColumn("_window", F.floor(at / seconds))
+    return rows.withColumn("allowed", F.row_number().over(so_far) <= most).drop("_window")

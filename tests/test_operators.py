@@ -75,7 +75,7 @@ def test_unknown_names(spark):
             e.analyse(q)
         assert err.value.code == code
     with pytest.raises(QueryError):
-        e.run("MATCH Person TRAVERSE knows RETURN *")
+        e.run('MATCH Person WHERE name == "Ann" TRAVERSE reports_to RETURN score')
 
 
 def test_search_filters_first(spark):
@@ -100,7 +100,18 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
     assert [r.c for r in df.select(vx.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     assert sum(x * x for x in vx.trigram_vector("some text")) == pytest.approx(1)
-    assert not any(vx.trigram_vector("a"))
+    assert not any(vx.trigram_vector("a")) and not any(vx.trigram_vector(" -! ")) and any(vx.trigram_vector("é"))
+    assert vx.trigram_vector("a-b") != vx.trigram_vector("ab") and vx.trigram_vector("A-B") == vx.trigram_vector("a-b")
+
+    def bucket(three):  # hash(h * 33 + byte) from 5381, in 128 buckets
+        a, b, c = three.encode()
+        return (5381 * 33**3 + a * 33**2 + b * 33 + c) % 128
+
+    want = [0.0] * 128
+    for three in ("  a", " a-", "a-b", "-b ", "b  "):
+        want[bucket(three)] += 1
+    size = sum(x * x for x in want) ** 0.5
+    assert vx.trigram_vector("A-b") == pytest.approx([x / size for x in want])
     ranked = spark.createDataFrame([("x", float("nan")), ("y", 0.5)], "koid string, score double")
     assert [r.koid for r in search.top(ranked, 2).collect()] == ["y", "x"]
 
@@ -170,6 +181,10 @@ def test_constraints(spark):
     assert [(r.n, r.objects) for r in constraints.duplicates(df, ["n"]).collect()] == [(1, 2)]
     batch = spark.createDataFrame([("e", 1), ("f", 9)], "k string, n int")
     assert [r.k for r in constraints.unique_violations(df, batch, ["n"]).collect()] == ["e"]
+    own = spark.createDataFrame([("a", 7, "t"), ("b", 8, "t")], "k string, n int, tenant string")
+    again = spark.createDataFrame([("a", 7, "t"), ("c", 8, "u"), ("d", 9, "t"), ("e", 9, "t"), ("f", None, "t")], "k string, n int, tenant string")
+    ids = lambda *a: sorted(r.k for r in constraints.unique_violations(own, again, ["n"], "k", *a).collect())
+    assert ids() == ["c", "d", "e"] and ids(["tenant"]) == ["d", "e"]  # an object does not clash with itself
     v = constraints.violations(df, F.col("k"), {"present": F.col("n").isNotNull(), "small": F.col("n") < 1}, changed=["m"], uses={"present": ["n"], "small": ["m"]})
     assert sorted((r.koid, r.rule) for r in v.collect()) == [(k, "small") for k in "abcd"]
 
@@ -198,7 +213,8 @@ def test_chain(spark):
 
 
 def test_names(spark):
-    pairs = [("Acme", "Acme", 1.0), ("Acme Type", "acme", 0.95), ("Acme", "Acme Corp", 0.8 * 4 / 9 + 0.1), ("Big Acme", "Acme Old", 0.7 / 3), ("Graphite", "Graphene", 0.5), ("x", "y", 0.0)]
+    pairs = [("Acme", "Acme", 1.0), ("ACME", "acme", 0.95), ("Acme Type", "acme", 0.8 * 4 / 9 + 0.1), ("Acme", "Acme Corp", 0.8 * 4 / 9 + 0.1), ("Big Acme", "Acme Old", 0.7 / 3), ("Graphite", "Graphene", 0.0), ("Customer", "Customs Office", 0.0)]
+    pairs += [("a.b old", "old", 0.8 * 3 / 7 + 0.1), ("new old", "cold old", 0.7 / 3), ("x y", "y  x", 0.7), ("é", "É", 0.95), ("x", "y", 0.0), ("one a.b", "a.b-c one", 0.7 / 3)]
     df = spark.createDataFrame(pairs, "a string, b string, s double")
     for r in df.withColumn("g", tx.name_similarity(F.col("a"), F.col("b"))).collect():
         assert r.g == pytest.approx(r.s), (r.a, r.b)
@@ -215,7 +231,12 @@ def test_resolution(spark):
 
 def test_conflicts(spark):
     f = spark.createDataFrame([("1", "The cache must be on", ["Cache"], 0.9), ("2", "The cache must not be on", ["Cache"], 0.5), ("3", "Logs are kept", ["Log"], 0.5)], "fact string, statement string, entities array<string>, confidence double")
-    assert [(r.a, r.b, r.kind) for r in knowledge.find_conflicts(f).collect()] == [("1", "2", "conflict")]
+    assert sorted((r.a, r.b, r.kind) for r in knowledge.find_conflicts(f).collect()) == [("1", "2", "ambiguous"), ("1", "2", "conflict")]
+    g = spark.createDataFrame([("1", "Jobs always run at night", ["J"], 0.9), ("2", "Jobs never run at night", ["J"], 0.5), ("3", "Sync calls only", ["J"], 0.4)], f.schema)
+    assert [(r.a, r.b, r.kind) for r in knowledge.find_conflicts(g).collect()] == [("1", "2", "conflict")]
+    h = spark.createDataFrame([("1", "It uses Rust", ["J"], 0.9), ("2", "it uses Go", ["J"], 0.5), ("3", "IT USES GO", ["J"], 0.4)], f.schema)
+    assert sorted((r.stale, r.current, r.kind) for r in knowledge.detect_staleness(h).collect()) == [("2", "1", "conflict"), ("3", "1", "conflict")]
+    f = f.where("fact <> '2'").unionAll(spark.createDataFrame([("2", "Now the cache must not be on today", ["Cache"], 0.5)], f.schema))
     p = knowledge.propose(knowledge.find_conflicts(f))
     pid = p.first().proposal
     move = lambda df, to: knowledge.advance(df, spark.createDataFrame([(pid, to)], "proposal string, to string")).drop("moved")
