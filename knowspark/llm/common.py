@@ -26,7 +26,10 @@ def fresh(df: DataFrame, name: str) -> str:
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -40,8 +43,8 @@ def stored(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where neither that setting nor
-    a checkpoint folder exists (tests, a laptop) is a temporary one used.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only in local mode (tests, a laptop),
+    where neither that setting nor a checkpoint folder exists, is a temporary one used.
     """
     _shared_folder(df.sparkSession)
     return df.checkpoint()
