@@ -129,7 +129,12 @@ def invalidate(heads: DataFrame, edges: DataFrame, koid: str, actor: str, reason
     """The object and its dependents, contradicted where that is legal, and valid no longer than now."""
     spark = heads.sparkSession
     ids = dependents(edges, koid, spark).unionAll(spark.createDataFrame([(koid,)], "koid string")).distinct()
-    own = heads.join(ids, "koid", "left_semi").where("invalidation is null")
+    return invalidated(heads.join(ids, "koid", "left_semi"), actor, reason, at)
+
+
+def invalidated(own: DataFrame, actor: str, reason: str, at: int) -> DataFrame:
+    """Objects that were not yet, contradicted where that is legal, valid no longer, and stamped."""
+    own = own.where("invalidation is null")
     legal = F.coalesce("epistemic_status", F.lit("unknown")).isin([a for a, to in STATUS_STEPS.items() if "contradicted" in to])
     end = F.when(F.col("valid_from") > at, F.col("valid_from")).otherwise(F.least("valid_to", F.lit(at)))
     stamp = F.struct(F.lit(at).alias("at"), F.lit(actor).alias("actor"), F.lit(reason).alias("reason"))

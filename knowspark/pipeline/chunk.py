@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import blocks
 
@@ -57,3 +58,10 @@ def chunk_documents(df: DataFrame, text_col: str = "text", key: str = "doc_id",
             yield pd.DataFrame(rows, columns=[key, "chunk_id", "position", "section", "text"])
 
     return df.select(key, text_col).mapInPandas(run, schema)
+
+
+def embed_chunks(chunked: DataFrame, embed: Callable[[Column], Column] | None = None, provider: str = "trigram") -> DataFrame:
+    """Chunks with the vector of their text and the name of what made it; ``embed`` is a column function, by default trigrams."""
+    from ..functions.vectors import trigram_embedding
+
+    return chunked.withColumn("embedding", (embed or trigram_embedding)(F.col("text"))).withColumn("embedding_provider", F.lit(provider))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import aggregates, constraints, evals, graph, infer, knowledge, mutate, provenance, resolution, search, temporal
+from ..operators import aggregates, claims, constraints, evals, graph, infer, knowledge, mutate, provenance, resolution, search, temporal
 from ..operators.ontology import Ontology, Relationship
 from ..schema import opened
 from . import query
@@ -543,3 +543,96 @@ def epistemic_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = tb.table(spark, sf_dir, "orders").select(tb.ref("order", "o_orderkey").alias("koid"))
     heads = opened(tb.orders(spark, sf_dir)).where("epistemic_status = 'verified'")
     return mutate.transition(heads, every, "contradicted", NOW)[0].select("koid", "epistemic_status")
+
+
+# Claims
+
+
+@query("SELECT 'seen/' || event_id AS koid, 'observed' AS epistemic_status, 'system' AS origin, epoch_us(ts) // 1000 AS valid_from, event_type AS kind FROM events")
+def observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tb.table(spark, sf_dir, "events")
+    out, _ = claims.observe(e, "Sighting", tb.ref("seen", "event_id"), ["event_type"], tb.evidence(F.lit("journal")), NOW, tb.millis("ts"))
+    return out.select("koid", "epistemic_status", "origin", "valid_from", F.col("properties")["event_type"]["s"].alias("kind"))
+
+
+def _asserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = tb.table(spark, sf_dir, "orders")
+    authority = F.when(F.col("o_orderstatus") == "F", "official").when(F.col("o_orderstatus") == "O", "user").otherwise("hearsay")
+    backed = F.when(F.col("o_orderpriority") != "5-LOW", tb.evidence(F.col("o_orderpriority")))
+    return claims.assert_claims(o, "Order", tb.ref("order", "o_orderkey"), ["o_totalprice"], backed, authority, NOW)
+
+
+@query("SELECT 'order/' || o_orderkey AS koid, CASE o_orderstatus WHEN 'F' THEN 'official' ELSE 'user' END AS authority, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'")
+def assert_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asserted(spark, sf_dir)[0].select("koid", "authority", F.col("properties")["o_totalprice"]["f"].alias("price"))
+
+
+@query("SELECT 'order/' || o_orderkey AS koid, CASE WHEN o_orderpriority = '5-LOW' THEN 'no evidence' ELSE 'not a valid claim' END AS problem FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'")
+def assert_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asserted(spark, sf_dir)[1]
+
+
+@query(f"SELECT 'run/' || p_partkey AS koid, {NOW} + 2592000000 AS valid_to, 0.5::DOUBLE AS score, p_brand AS reader FROM part WHERE p_size > 10")
+def record_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tb.table(spark, sf_dir, "part")
+    told = p.withColumn("goal", F.col("p_type")).withColumn("action", F.col("p_name")).withColumn("outcome", F.when(F.col("p_size") > 10, "kept").otherwise(" "))
+    out, _ = claims.record_experiences(told, tb.ref("run", "p_partkey"), tb.evidence(F.col("p_name")), NOW, shared_with=F.array("p_brand"))
+    return out.select("koid", "valid_to", "confidence.score", F.col("acl")[0]["principal"].alias("reader"))
+
+
+@query("SELECT * FROM (VALUES ('part/9', 'superseded', NULL::BIGINT), ('part/9a', 'active', 1::BIGINT), ('part/9b', 'active', 2::BIGINT)) t(koid, state, properties)")
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mutate.split(opened(tb.parts(spark, sf_dir)), "part/9", {"part/9a": ["p_brand"], "part/9b": ["p_size", "p_type"]}, NOW)
+    return out.select("koid", "state", F.when(F.col("koid") != "part/9", F.size("properties").cast("long")).alias("properties"))
+
+
+@query("SELECT 'conflict/1' AS koid, p_size::BIGINT AS claimed, 99::BIGINT AS countered FROM part WHERE p_partkey = 9")
+def contradict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = mutate.contradict(opened(tb.parts(spark, sf_dir)), "part/9", "conflict/1", "p_size", 99, "ann", NOW)
+    return out.select("koid", F.col("properties")["claimed"]["i"].alias("claimed"), F.col("properties")["countered"]["i"].alias("countered"))
+
+
+@query("SELECT lang, count(*) AS documents FROM documents WHERE source <> 'src1' GROUP BY lang")
+def erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left by language once all documents of one source are erased."""
+    every = opened(tb.docs(spark, sf_dir))
+    ids = tb.table(spark, sf_dir, "documents").where("source = 'src1'").select(tb.ref("doc", "doc_id").alias("koid"))
+    return mutate.erase(every, ids).groupBy(F.col("properties")["lang"]["s"].alias("lang")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"SELECT 'part/' || p_partkey AS koid, 2::BIGINT AS version, {NOW} + 1000 AS valid_to FROM part WHERE p_partkey = 9")
+def retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.retain(opened(tb.parts(spark, sf_dir)), "part/9", 1000, NOW).select("koid", "version", "valid_to")
+
+
+def _statement(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    from ..plans.engine import Catalog, Engine
+
+    return Engine(Catalog({"Part": tb.parts(spark, sf_dir)}), now=NOW).run(source)
+
+
+@query("SELECT 'part/9' AS koid, 2::BIGINT AS version, 5::BIGINT AS p_size, p_brand FROM part WHERE p_partkey = 9")
+def statement_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _statement(spark, sf_dir, 'UPDATE Part "part/9" p_size == 5')
+    return out.select("koid", "version", F.col("properties")["p_size"]["i"].alias("p_size"), F.col("properties")["p_brand"]["s"].alias("p_brand"))
+
+
+@query("SELECT 'part/9' AS koid, 2::BIGINT AS version, 'deleted' AS state")
+def statement_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statement(spark, sf_dir, 'DELETE Part "part/9"').select("koid", "version", "state")
+
+
+@query("SELECT 'Part' AS type_name, 1::BIGINT AS version, 'bolt' AS p_name, 7::BIGINT AS p_size")
+def statement_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _statement(spark, sf_dir, 'CREATE Part p_name == "bolt", p_size == 7')
+    return out.select("type_name", "version", F.col("properties")["p_name"]["s"].alias("p_name"), F.col("properties")["p_size"]["i"].alias("p_size"))
+
+
+@query("SELECT 'new/1' AS koid, 1::BIGINT AS version, 'part/9' AS target UNION ALL SELECT 'part/9', 2, 'new/1'")
+def batch_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new object and a stored one that refer to each other, written together."""
+    from ..plans.batch import batch
+
+    operations = [{"remember": {"type": "Note", "properties": {"text": "worn"}}}, {"relate": {"from": "$1.koid", "rel": "about", "to": "part/9"}}, {"relate": {"from": "part/9", "rel": "noted", "to": "$1.koid"}}]
+    out, _ = batch(opened(tb.parts(spark, sf_dir)), operations, NOW, lambda: "new/1")
+    return out.select("koid", "version", F.col("relationships")[0]["target"].alias("target"))

@@ -20,6 +20,11 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_documents(tb.table(spark, sf_dir, "documents"))
 
 
+@query()
+def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.embed_chunks(chunk.chunk_documents(tb.table(spark, sf_dir, "documents")))
+
+
 @query()
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_blocks(tb.table(spark, sf_dir, "documents"), "text", "doc_id")

@@ -77,6 +77,24 @@ class Store:
         for name, df in (("versions", self.versions()), ("journal", self.journal())):
             (df.write.partitionBy("type_name") if name == "versions" else df.write).parquet(f"{path}/{name}")
 
+    def restore(self, path: str) -> None:
+        """Takes the backup at ``path`` into this store, which must be empty, and checks that all of it arrived."""
+        if not self.journal().isEmpty():
+            raise ValueError("the store is not empty")
+        Store(self.spark, path).backup(self.path)
+        if not self.same_as(Store(self.spark, path)):
+            raise RuntimeError("the restored store differs from its backup")
+
+    def backups(self, folder: str) -> DataFrame:
+        """(name, versions, last_seq) of the backups under a folder."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        names = sorted(f.getPath().getName() for f in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root) if f.isDirectory())
+        rows = []
+        for name in names:
+            copy = Store(self.spark, f"{folder}/{name}")
+            rows.append((name, *copy.journal().agg(F.count(F.lit(1)), F.max("seq")).first()))
+        return self.spark.createDataFrame(rows, "name string, versions bigint, last_seq bigint")
+
     def same_as(self, other: Store) -> bool:
         """Whether both hold the same versions and journal, by keys and payload hashes."""
         for a, b in ((self, other), (other, self)):

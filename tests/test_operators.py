@@ -329,3 +329,66 @@ def test_exact_percentiles(spark):
         assert "c" not in got
     n = [(x.g, x.v, x.i) for x in numbered(df.where("g = 'b'"), "i", "v").collect()]
     assert sorted(x[2] for x in n) == list(range(1, 20_001)) and [x[1] for x in sorted(n, key=lambda x: x[2])] == sorted(x[1] for x in n)
+
+
+def test_resolve_conflict(spark):
+    from knowspark.operators import claims
+
+    heads = opened(people(spark)).withColumn("epistemic_status", F.when(F.col("koid") != "d", "asserted").otherwise("superseded")).withColumn("valid_from", F.lit(0).cast("long"))
+    row = spark.createDataFrame([("x1", "a", "b")], "k string, a string, b string")
+    proof = F.array(F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("source_artifact", "s", "string"), ("location", None, "string"), ("revision", None, "string"), ("method", "m", "string"), ("confidence", 1.0, "double"))]))
+    conflict, bad = claims.claims(row, "Conflict", F.col("k"), ["a", "b"], proof, 5)
+    assert bad.count() == 0 and claims.claims(row, "Conflict", F.col("k"), ["a"], F.slice(proof, 1, 0), 5)[1].first().problem == "no evidence"
+    heads = heads.unionByName(conflict)
+    edges = spark.createDataFrame([("c", "DERIVED_FROM", "a")], "src string, rel_type string, dst string")
+    go = lambda a, b, *rest, **more: claims.resolve_conflict(heads, edges, "x1", a, b, *rest, 9, **more)
+    out, none = go("a", "b", "a_preferred", "seen twice")
+    assert {r.koid: r.epistemic_status for r in out.collect()}["b"] == "contradicted" and out.count() == 2 and none.count() == 0
+    assert out.where("koid = 'x1'").first().properties["resolution"].s == "a_preferred"
+    assert claims.resolve_conflict(out, edges, "x1", "a", "b", "a_preferred", "again", 9)[1].first().problem == "already resolved"
+    assert claims.resolve_conflict(heads, edges, "a", "a", "b", "a_preferred", "no", 9)[1].first().problem == "not a conflict"
+    assert go("a", "d", "a_preferred", "d is closed already")[0].count() == 1
+    out, _ = go("a", "b", "both_valid", "one after the other", split_at=7)
+    assert {r.koid: (r.valid_from, r.valid_to) for r in out.where("koid <> 'x1'").collect()} == {"a": (0, 7), "b": (7, None)}
+    out, _ = go("a", "b", "replaced", "both wrong", replacement="d")
+    assert {r.koid: r.epistemic_status for r in out.where("koid <> 'x1'").collect()} == {"a": "superseded", "b": "superseded", "c": "contradicted"}
+    for wrong in (("won", "x", {}), ("replaced", "x", {}), ("a_preferred", " ", {}), ("a_preferred", "x", {"split_at": 3})):
+        with pytest.raises(ValueError):
+            go("a", "b", *wrong[:2], **wrong[2])
+
+
+def test_batch(spark):
+    from knowspark.plans.batch import batch
+
+    heads, names = opened(people(spark)), iter("xyz")
+    out, koids = batch(heads, [{"remember": {"type": "Note", "properties": {"about": "all"}}}, {"remember": {"type": "Note", "properties": {"after": "$1.koid"}}}, {"relate": {"from": "$2.koid", "rel": "next", "to": "a"}}, {"remember": {"type": "Person", "koid": "b", "properties": {"age": 6}}}, {"forget": {"koid": "d"}}], 9, lambda: next(names))
+    rows = {r.koid: r for r in out.collect()}
+    assert koids == ["x", "y", "y", "b", "d"] and set(rows) == {"x", "y", "b", "d"}
+    assert rows["y"].properties["after"].s == "x" and rows["y"].relationships[0].target == "a" and rows["x"].version == 1
+    assert rows["b"].properties["age"].i == 6 and rows["b"].properties["name"].s == "Bob" and rows["b"].version == 2 and rows["d"].state == "deleted"
+    for operations, error in (([{"forget": {"koid": "$1.koid"}}], ValueError), ([{"forget": {"koid": "nobody"}}], KeyError), ([{"paint": {}}], ValueError)):
+        with pytest.raises(error):
+            batch(heads, operations, 9)
+
+
+def test_workflows_reports_agents(spark):
+    from knowspark.plans.programs import Agent, Program, Report, Runner, Workflow
+
+    runner = Runner(Engine(Catalog({"Person": people(spark)})))
+    old, named = Program("old", "MATCH Person WHERE age > {{ least }} RETURN name, age"), Program("named", "MATCH Person WHERE name == {{ who }} RETURN age")
+    flow = Workflow("w", {"second": (named, ["first"]), "first": (old, [])})
+    assert flow.order() == ["first", "second"]
+    out = flow.run(runner, {"least": 40, "who": "Dan"}, "e1")
+    assert out["first"].count() == 1 and out["second"].first().age == 30
+    assert flow.run(runner, {"least": 0, "who": "Dan"}, "e1")["first"].count() == 1 and (runner.stats.hits, runner.stats.misses, runner.stats.programs) == (2, 2, 4)
+    with pytest.raises(ValueError):
+        Workflow("c", {"a": (old, ["b"]), "b": (old, ["a"])}).order()
+    with pytest.raises(KeyError):
+        Workflow("c", {"a": (old, ["z"])}).order()
+    text = Report("r", "Over {{ least }}:\n{{ who_is }}", {"who_is": Program("p", "MATCH Person WHERE age >= {{ least }} LIMIT 9 RETURN name, age")}).render(runner, {"least": 30}, most=1)
+    assert text.startswith("Over 30:\n") and text.endswith("...") and "Ann | 30" in text
+    agent = Agent("a", "Find people.", {"old": old}, ["ann"])
+    assert agent.run(runner, "ann", {"least": 1})["old"].count() == 3
+    with pytest.raises(PermissionError):
+        agent.run(runner, "eve", {"least": 1})
+    assert sum(len(c) for c in runner.chunks(old, {"least": 1}, 2)) == 3 and runner.stats.rows == 3

@@ -56,6 +56,25 @@ def test_two_versions_in_one_append(spark, store):
     assert provenance.prove(store.journal()).count() == 0 and store.get("a").first().version == 4
 
 
+def test_restore_and_list_backups(spark, store, tmp_path):
+    store.backup(f"{tmp_path}/backups/one")
+    store.append(rows(spark, [("e", "later")], 1, 5000), "created", "ann", 5000)
+    store.backup(f"{tmp_path}/backups/two")
+    assert [(r.name, r.versions) for r in store.backups(f"{tmp_path}/backups").collect()] == [("one", 3), ("two", 4)]
+    fresh = Store(spark, f"{tmp_path}/fresh")
+    fresh.restore(f"{tmp_path}/backups/one")
+    assert fresh.versions().count() == 3 and not fresh.same_as(store)
+    with pytest.raises(ValueError):
+        fresh.restore(f"{tmp_path}/backups/two")
+
+
+def test_embedded_chunks(spark):
+    from knowspark.functions.vectors import trigram_vector
+
+    got = chunk.embed_chunks(chunk.chunk_documents(spark.createDataFrame([(1, "Some words here."), (2, None)], "doc_id long, text string"))).collect()
+    assert [r.embedding_provider for r in got] == ["trigram"] and got[0].embedding == pytest.approx(trigram_vector(got[0].text), abs=1e-6)
+
+
 def test_uncommitted_versions_are_not_seen(spark, store):
     rows(spark, [("zz", "lost")]).write.mode("append").partitionBy("type_name").parquet(f"{store.path}/versions")
     assert store.get("zz").count() == 0
