@@ -14,11 +14,11 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """The set of lower-case words; an empty array for none."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda x: x != ""))
+    return F.array_distinct(token_list(text))
 
 
 def token_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,7 +120,7 @@ def redact(text: Column) -> Column:
 
 def space_words(text: Column) -> Column:
     """The runs of characters other than white space, in order."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def space_jaccard(a: Column, b: Column, empty: float) -> Column:

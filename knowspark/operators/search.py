@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,21 @@ def ann(df: DataFrame, vector: Column, query: Sequence[float], k: int, key: Colu
 
 
 def text_jaccard(df: DataFrame, text: Column, query: str, k: int, key: Column, keep: Sequence[Column] = ()) -> DataFrame:
-    """Top k by Jaccard similarity of token sets; rows that score 0 are ranked too."""
-    words = F.array(*[F.lit(w) for w in tx.query_tokens(query)]).cast("array<string>")
-    return top(df.select(key.alias("koid"), tx.jaccard(tx.tokens(text), words).alias("score"), *keep), k)
+    """Top k by Jaccard similarity of token sets; rows that score 0 are ranked too.
+
+    Only texts that hold a query word somewhere are cut into words: the others score 0.
+    """
+    asked = tx.query_tokens(query)
+    words = F.array(*[F.lit(w) for w in asked]).cast("array<string>")
+    own = df.select(key.alias("koid"), F.when(_holds_any(text, asked), tx.tokens(text)).alias("_words"), *keep)  # a column of its own, so that it is made once
+    score = F.when(F.col("_words").isNotNull(), tx.jaccard(F.col("_words"), words)).otherwise(0.0)
+    return top(own.select("koid", score.alias("score"), *[c for c in own.columns if c not in ("koid", "_words")]), k)
+
+
+def _holds_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text holds one of the words, if only within another."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words], F.lit(False))
 
 
 K1, B = 1.2, 0.75
@@ -35,6 +48,7 @@ def text_bm25(df: DataFrame, text: Column, query: str, k: int, key: Column, keep
     """Top k by BM25 over token sets (each word counts once, length = distinct words), of rows that share a word.
 
     Document counts come from one aggregation to a single row, which is joined back as a constant; nothing is exploded.
+    To be scored, only texts that hold a query word somewhere are cut into words again.
     """
     words = tx.query_tokens(query)
     own = df.select(key.alias("koid"), tx.tokens(text).alias("_words"), *keep)
@@ -42,7 +56,7 @@ def text_bm25(df: DataFrame, text: Column, query: str, k: int, key: Column, keep
         return own.where("false").select("koid", F.lit(0.0).alias("score"), *[c for c in own.columns if c not in ("koid", "_words")])
     has = [F.array_contains("_words", w) for w in words]
     counts = own.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_words")).alias("_avg"), *[F.count_if(h).alias(f"_df{i}") for i, h in enumerate(has)])
-    own = own.join(F.broadcast(counts))  # one row
+    own = df.select(key.alias("koid"), F.when(_holds_any(text, words), tx.tokens(text)).alias("_words"), *keep).join(F.broadcast(counts))  # one row
     norm = F.lit(K1 + 1) / (1 + K1 * (1 - B + B * F.size("_words") / F.col("_avg")))
     idf = [F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)) for i in range(len(words))]
     score = sum((F.when(h, x * norm).otherwise(0.0) for h, x in zip(has, idf)), F.lit(0.0))

@@ -24,6 +24,8 @@ from ..schema import tagged
 
 K = 10
 
+MOST_BROADCAST = 10_000
+
 
 @dataclass
 class Catalog:
@@ -171,7 +173,8 @@ class Engine:
         else:
             ranked = search.fuse_rrf(*sides) if s.fuse == "rrf" else search.fuse_weighted(*sides, 0.5, 0.5)
         ranked = ranked.select(F.col("koid").alias("_koid"), F.col("score").alias("_score"))
-        return rows.join(F.broadcast(ranked), key == F.col("_koid")).drop("_koid")  # at most 2 k rows
+        small = F.broadcast(ranked) if k <= MOST_BROADCAST else ranked  # it has at most 2 k rows
+        return rows.join(small, key == F.col("_koid")).drop("_koid")
 
     def match(self, m: t.Match) -> DataFrame:
         if m.explain:
