@@ -40,7 +40,7 @@ from .common import slices
 
 CHUNK = 256
 PIECE = 1 << 20
-STATES, REMEMBERED = 60_000, 400_000
+STATES, REMEMBERED = 250_000, 400_000
 LIMIT = 2048
 
 # Classes of characters: white space, other, number, letter, apostrophe, one of s t m d, then r v l e.
@@ -215,19 +215,17 @@ class CountTransducer:
 
 
 @lru_cache(1)
-def unlike() -> re.Pattern:
-    """The characters that Python normalises unlike the tokenizer library, or does not know."""
+def unlike() -> np.ndarray:
+    """Of each code point, whether Python normalises it unlike the tokenizer library, or does not know it."""
     from tokenizers import normalizers
 
     lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-    odd = []
+    out = np.zeros(0x110000, bool)
     for a in range(0x80, 0x110000, 4096):
         chars = [chr(c) for c in range(a, min(a + 4096, 0x110000)) if not 0xD800 <= c < 0xE000]
         for c, own in zip(chars, lower.normalize_str("|".join(chars)).split("|")):
-            if own != unicodedata.normalize("NFC", c).replace("Σ", "σ").lower() or unicodedata.category(c) == "Cn":
-                odd.append(ord(c))
-    edges = [i for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1] + [len(odd)]
-    return re.compile("[" + "".join(f"{re.escape(chr(odd[a]))}-{re.escape(chr(odd[z - 1]))}" for a, z in zip(edges, edges[1:])) + "]")
+            out[ord(c)] = own != unicodedata.normalize("NFC", c).replace("Σ", "σ").lower() or unicodedata.category(c) == "Cn"
+    return out
 
 
 def emitted_before(places: np.ndarray, tokens: np.ndarray, n: int, edges: np.ndarray) -> np.ndarray:
@@ -267,7 +265,7 @@ class Counter:
         if self.special and "<|" in text:
             text, found = self.special.subn("\n", text)
         if not text.isascii():
-            if unlike().search(text):
+            if unlike()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
                 return self.library.normalize_str(text), found
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without a final sigma
         return text.lower(), found
