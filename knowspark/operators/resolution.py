@@ -55,27 +55,36 @@ def _decide(scored: DataFrame, least: float, gap: float, key: str) -> DataFrame:
     return out.select(key, F.when(verdict != "unmatched", F.col("_b.candidate")).alias("candidate"), F.coalesce(score, F.lit(0.0)).alias("score"), verdict.alias("verdict"))
 
 
+def _two(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
+    """The first two rows of each key."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n <= 2").drop("_n")
+
+
 def resolve_names(mentions: DataFrame, known: DataFrame, least: float = NAME_LEAST, gap: float = NAME_GAP) -> DataFrame:
     """(mention, candidate, score, verdict) of mentions (mention, name, type_hint) against known (koid, name, type_hint).
 
     Names meet on shared words, and where one lies within the other, also inside a word: every pair with a name
-    similarity above 0, but that an empty name is within none.
+    similarity above 0, but that an empty name is within none. Mentions with equal name and hint are compared once, and
+    of known entities that share both, the two with the smallest ids: no others can be first or second.
     """
-    m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), F.explode(name_blocks(F.col("name"))).alias("b"))
-    k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), F.explode(name_blocks(F.col("name"))).alias("b"))
-    pairs = m.join(k, "b").unionByName(_inside(mentions, known)).where(compatible(F.col("mt"), F.col("kt"))).select("mention", "candidate", "mn", "kn").distinct()
-    scored = pairs.select("mention", "candidate", tx.name_similarity(F.col("mn"), F.col("kn")).alias("score"))
-    return _decide(mentions.select("mention").join(scored, "mention", "left"), least, gap, "mention")
-
-
-def _inside(mentions: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (b, mention, mn, mt, candidate, kn, kt) of which one lower-case name contains the other."""
-    m = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"), F.lower("name").alias("x")).where("x <> ''")
-    k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt"), F.lower("name").alias("y")).where("y <> ''")
-    x, y = F.col("x"), F.col("y")
+    rows = mentions.select("mention", F.col("name").alias("mn"), F.col("type_hint").alias("mt"))
+    m = rows.where("mn is not null").select("mn", "mt").distinct()
+    k = known.select(F.col("koid").alias("candidate"), F.col("name").alias("kn"), F.col("type_hint").alias("kt")).where("kn is not null").distinct()
+    k = _two(k, ("kn", "kt"), F.col("candidate"))
+    shared = m.withColumn("b", F.explode(name_blocks(F.col("mn")))).join(k.withColumn("b", F.explode(name_blocks(F.col("kn")))), "b")
+    pairs = shared.unionByName(_inside(m, k)).where(compatible(F.col("mt"), F.col("kt"))).select("mn", "mt", "candidate", "kn").distinct()
+    scored = pairs.select(F.col("mn").alias("n"), F.col("mt").alias("t"), "candidate", tx.name_similarity(F.col("mn"), F.col("kn")).alias("score"))
+    best = _two(scored, ("n", "t"), F.col("score").desc(), F.col("candidate"))
+    return _decide(rows.join(best, (F.col("mn") == F.col("n")) & F.col("mt").eqNullSafe(F.col("t")), "left"), least, gap, "mention")
+
+
+def _inside(m: DataFrame, k: DataFrame) -> DataFrame:
+    """Pairs of rows of m (mn, mt) and k (candidate, kn, kt), with a key b, of which one lower-case name contains the other."""
+    x, y = F.lower("mn"), F.lower("kn")
+    m, k = m.where("mn <> ''"), k.where("kn <> ''")
     around = m.withColumn("b", F.explode(_pieces(x))).join(k.withColumn("b", _start(y)), "b").where(x.contains(y))
     within = m.withColumn("b", _start(x)).join(k.withColumn("b", F.explode(_pieces(y))), "b").where(y.contains(x))
-    return around.unionByName(within).drop("x", "y")
+    return around.unionByName(within)
 
 
 def resolve_vectors(mentions: DataFrame, known: DataFrame, least: float = VECTOR_LEAST, gap: float = VECTOR_GAP) -> DataFrame:
